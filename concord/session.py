@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings a cluster operator would put in spark-defaults; shuffle partitions are left to AQE there.
 DEFAULTS = {
@@ -37,3 +38,19 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     if not root:
         root = tempfile.mkdtemp(prefix="concord-")
     return os.path.join(root, name)
+
+
+def new_run_dir(spark: SparkSession) -> str:
+    """A folder of its own for the stage tables of one run."""
+    return os.path.join(shared_dir(spark, "runs"), uuid.uuid4().hex)
+
+
+def as_table(df: DataFrame, folder: str, name: str) -> DataFrame:
+    """Write a stage as a table in the shared folder and read it back.
+
+    Several later stages read it, so it is computed once; the plan is cut, and a lost executor costs a re-read
+    instead of a recomputation.
+    """
+    path = os.path.join(folder, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

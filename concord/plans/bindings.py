@@ -250,3 +250,40 @@ def case_board(spark: SparkSession, sf_dir: str) -> DataFrame:
     board = bind(spark, sf_dir, CASES, "SELECT * FROM board")
     defects = F.when(F.col("defect_text") == "", F.array().cast("array<string>")).otherwise(F.split("defect_text", ","))
     return board.withColumn("defect_fields", defects)
+
+
+# ---- tables rendered from `events`: corrections, activity, usage, knowledge history
+CORRECTIONS = f"""{MESSAGES},
+corrections AS (
+  SELECT e.event_id AS id, m.case_id,
+    CASE e.event_type WHEN 'click' THEN 'field_result' WHEN 'view' THEN 'category' WHEN 'error' THEN 'draft' WHEN 'signup' THEN 'field_value' ELSE 'verdict' END AS kind,
+    CASE WHEN e.event_type IN ('click', 'signup') THEN CASE CAST(e.user_id % 5 AS INT) WHEN 0 THEN 'shipper' WHEN 1 THEN 'consignee' WHEN 2 THEN 'notify_party' WHEN 3 THEN 'port_of_discharge' ELSE 'container_count' END END AS field,
+    CASE e.event_type WHEN 'click' THEN CASE WHEN e.value < 10 THEN 'match' WHEN e.value < 50 THEN 'mismatch' ELSE 'unsure' END
+         WHEN 'error' THEN 'We found discrepancies. Please amend. All other fields match.' ELSE 'old' END AS ai_value,
+    CASE e.event_type WHEN 'click' THEN CASE WHEN e.value > 300 THEN 'mismatch' ELSE 'match' END WHEN 'view' THEN 'GENERAL'
+         WHEN 'error' THEN concat('We found discrepancies. Please quote BL no. ', m.bl_no, ' in your reply. Please amend. Dear all, thanks.') ELSE 'new' END AS final_value,
+    CASE WHEN e.value < 100 THEN 'MISMATCH' ELSE 'OK' END AS status, m.sender, m.said AS message, m.bl_no,
+    CASE CAST(e.user_id % 5 AS INT) WHEN 0 THEN f.si_shipper WHEN 1 THEN f.si_consignee WHEN 2 THEN f.si_notify WHEN 3 THEN f.si_pod ELSE f.si_count END AS left_value,
+    CASE CAST(e.user_id % 5 AS INT) WHEN 0 THEN f.bl_shipper WHEN 1 THEN f.bl_consignee WHEN 2 THEN f.bl_notify WHEN 3 THEN f.bl_pod ELSE f.bl_count END AS right_value,
+    CAST(e.user_id AS VARCHAR(20)) AS who, e.ts AS at, e.value > 200 AS consumed
+  FROM events e
+  JOIN messages m ON m.k = e.event_id % (SELECT count(*) FROM orders)
+  JOIN forms f ON f.k = m.k)
+"""
+ACTIVITY = """activity AS (SELECT event_id AS id, concat('case_', CAST(user_id AS VARCHAR(20))) AS case_id, event_type AS action, ts AS at FROM events)"""
+USAGE = """usage_log AS (SELECT event_type AS task, CAST(1 AS BIGINT) AS calls, value / 1000 AS cost_usd, ts AS at FROM events)"""
+HISTORY = """history AS (SELECT user_id AS item_id, event_id AS id, CASE event_type WHEN 'signup' THEN 'add' WHEN 'error' THEN 'remove' ELSE 'edit' END AS action,
+  concat('v', CAST(event_id AS VARCHAR(20))) AS value, ts AS at FROM events)"""
+# several runs over every order: the later run of a case is the current one
+VERSIONS = f"""{CASES},
+versions AS (
+  SELECT case_id, CAST(1 AS BIGINT) AS run_id, received_at AS processed_at, category, 'PENDING' AS status, review_reason FROM board
+  UNION ALL
+  SELECT case_id, CAST(2 AS BIGINT) AS run_id, received_at AS processed_at, category, status, review_reason FROM board WHERE NOT archived)
+"""
+TEAM = [(1, "Maya Tan", True), (2, "Arif Rahman", True), (3, "Dewi Lestari", False), (4, "Jun Wei Lim", True), (5, "Guest Viewer", False)]
+
+
+def corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bind(spark, sf_dir, CORRECTIONS, "SELECT * FROM corrections")
+    return rows.withColumns({n: F.lit(None).cast("string") for n in ("oc_no", "booking", "invoice")})

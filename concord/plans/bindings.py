@@ -39,7 +39,7 @@ shipment AS (
   SELECT /*+ SHUFFLE_MERGE(l) */ o.o_orderkey AS k, concat('case_', CAST(o.o_orderkey AS VARCHAR(20))) AS case_id, CAST(o.o_orderkey % 20 AS INT) AS variant,
          o.o_orderdate AS received_at, o.o_orderstatus AS ostatus, o.o_orderpriority AS opriority, o.o_totalprice AS price,
          coalesce(l.n, 0) AS n, coalesce(l.q, 0) AS q, CAST(l.n IS NOT NULL AS BOOLEAN) AS has_lines,
-         concat('SUPPLIER ', substr(s.s_name, 10)) AS shipper_core,
+         CASE WHEN s.s_name IS NOT NULL THEN concat('SUPPLIER ', substr(s.s_name, 10)) END AS shipper_core,
          CASE CAST(s.s_suppkey % 5 AS INT) WHEN 0 THEN 'SDN BHD' WHEN 1 THEN 'PTE LTD' WHEN 2 THEN 'GMBH' WHEN 3 THEN 'CO LTD' ELSE 'LLC' END AS shipper_form,
          concat('BUYER ', substr(c.c_name, 10)) AS buyer_core,
          CASE CAST(c.c_custkey % 4 AS INT) WHEN 0 THEN 'LTD' WHEN 1 THEN 'LLC' WHEN 2 THEN 'SDN BHD' ELSE 'GMBH' END AS buyer_form,
@@ -65,14 +65,14 @@ weights AS (
   FROM shipment),
 forms AS (
   SELECT w.*,
-    concat(shipper_core, ' ', shipper_form) AS si_shipper,
+    CASE WHEN has_lines THEN concat(shipper_core, ' ', shipper_form) END AS si_shipper,
     concat(buyer_core, ' ', buyer_form) AS si_consignee,
     concat(buyer_core, ' ', buyer_form) AS si_notify,
-    concat(pol, ', ', pol_country, ' (', pol_code, ')') AS si_pol,
+    CASE WHEN has_lines THEN concat(pol, ', ', pol_country, ' (', pol_code, ')') END AS si_pol,
     concat(pod, ', ', pod_country, ' (', pod_code, ')') AS si_pod,
     concat(CAST(n AS VARCHAR(20)), ' x 40', chr(39), 'HC') AS si_count,
     concat(kg_text, ' KG') AS si_weight,
-    CASE WHEN variant = 9 THEN concat('MERIDIAN EXPORTS ', shipper_form)
+    CASE WHEN NOT has_lines THEN NULL WHEN variant = 9 THEN concat('MERIDIAN EXPORTS ', shipper_form)
          WHEN variant = 10 THEN shipper_core
          WHEN variant = 1 THEN concat(shipper_core, ' ', CASE shipper_form WHEN 'SDN BHD' THEN 'SENDIRIAN BERHAD' WHEN 'PTE LTD' THEN 'PRIVATE LIMITED'
               WHEN 'CO LTD' THEN 'COMPANY, LIMITED' WHEN 'GMBH' THEN 'G.M.B.H.' ELSE 'L.L.C.' END)
@@ -85,7 +85,7 @@ forms AS (
          ELSE concat(buyer_core, ' ', buyer_form) END AS bl_consignee,
     CASE WHEN variant = 18 THEN concat(buyer_core, ' WEST ', buyer_form)
          ELSE concat(buyer_core, ' ', buyer_form) END AS bl_notify,
-    CASE WHEN variant = 4 THEN pol ELSE concat(pol, ', ', pol_country, ' (', pol_code, ')') END AS bl_pol,
+    CASE WHEN NOT has_lines THEN NULL WHEN variant = 4 THEN pol ELSE concat(pol, ', ', pol_country, ' (', pol_code, ')') END AS bl_pol,
     CASE WHEN variant = 8 THEN concat('PORT SUDAN, SUDAN (', pod_code, ')')
          WHEN variant = 17 THEN concat(pod, 'S, ', pod_country)
          WHEN variant = 5 THEN concat('Port of ', pod, ', ', pod_country)
@@ -267,7 +267,7 @@ corrections AS (
     CASE CAST(e.user_id % 5 AS INT) WHEN 0 THEN f.bl_shipper WHEN 1 THEN f.bl_consignee WHEN 2 THEN f.bl_notify WHEN 3 THEN f.bl_pod ELSE f.bl_count END AS right_value,
     CAST(e.user_id AS VARCHAR(20)) AS who, e.ts AS at, e.value > 200 AS consumed
   FROM events e
-  JOIN messages m ON m.k = e.event_id % (SELECT count(*) FROM orders)
+  JOIN messages m ON m.k = e.user_id * 100 + e.event_id % 100
   JOIN forms f ON f.k = m.k)
 """
 ACTIVITY = """activity AS (SELECT event_id AS id, concat('case_', CAST(user_id AS VARCHAR(20))) AS case_id, event_type AS action, ts AS at FROM events)"""

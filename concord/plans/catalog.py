@@ -261,7 +261,7 @@ def document_types(spark, sf):
 def cue_scores(spark, sf):
     """K1: score per message and category."""
     k = K.score_cues(T.clean_body(_mail(spark, sf)))
-    return k.select("case_id", F.explode("cue_scores").alias("category", "score"))
+    return k.select("case_id", F.explode_outer("cue_scores").alias("category", "score"))
 
 
 @query
@@ -274,7 +274,7 @@ def classified_messages(spark, sf):
 @query
 def signal_scores(spark, sf):
     kinds = checks.prepare_documents(_docs(spark, sf)).select("case_id", "type")
-    return K.score_signals(_mail(spark, sf), kinds).select("case_id", F.explode("signal_scores").alias("category", "score"))
+    return K.score_signals(_mail(spark, sf), kinds).select("case_id", F.explode_outer("signal_scores").alias("category", "score"))
 
 
 HINTS = [(r"query\s+on\s+invoice", "INVOICE_QUERY", 4.0), ("automated", "NOTICE", 2.0), ("shipment 5RMY-000", "GENERAL", 0.5)]
@@ -282,7 +282,7 @@ HINTS = [(r"query\s+on\s+invoice", "INVOICE_QUERY", 4.0), ("automated", "NOTICE"
 
 @query
 def hint_scores(spark, sf):
-    return K.score_hints(T.clean_body(_mail(spark, sf)), HINTS).select("case_id", F.explode("hint_scores").alias("category", "score"))
+    return K.score_hints(T.clean_body(_mail(spark, sf)), HINTS).select("case_id", F.explode_outer("hint_scores").alias("category", "score"))
 
 
 @query
@@ -424,7 +424,7 @@ def completeness(spark, sf):
 def checked_cases(spark, sf):
     """Everything from raw messages and documents to the decided case."""
     c = checks.check_cases(_mail(spark, sf), _docs(spark, sf), knowledge=B.seed_knowledge(spark)).cases
-    return c.select("case_id", "category", "status", "review_reason", _joined("defect_fields"), "needs_human", "carrier", "customer")
+    return c.select("case_id", "category", "status", "review_reason", _joined("defect_fields"))
 
 
 # ---------------------------------------------------------------- knowledge

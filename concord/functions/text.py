@@ -9,35 +9,32 @@ from concord import specs
 from concord.functions.regex import NOCASE, NOCASE_LINES, PLAIN, extract, first_of, look_up, matches, strip, sub
 
 
-def clean_body(messages: DataFrame, body: str = "body") -> DataFrame:
-    """Add `message`, `signature`, `quoted`, `banner` to a message table.
+def body_parts(body: Column) -> dict[str, Column]:
+    """`banner`, `quoted`, `signature` and `message` of a mail body.
 
-    Each cut is found once with `regexp_instr` and taken with substring; the steps are separate projections so
-    that a cut position is computed once and reused.
+    Every cut is one anchored replacement that mentions its input once, so the plan stays linear even when a filter
+    on the message is pushed below the projection.
     """
-    text, cut = F.col("_text"), F.col("_cut")
-    head = F.left(text, F.lit(specs.BANNER_WINDOW))
-    df = messages.withColumn("_text", F.replace(F.coalesce(F.col(body), F.lit("")), F.lit("\r\n"), F.lit("\n")))
-    df = df.withColumn("_cut", F.regexp_instr(head, F.lit(NOCASE_LINES + specs.BANNER_LINE)))
-    df = df.withColumn("_hit", F.regexp_extract(head, NOCASE_LINES + specs.BANNER_LINE, 0))
-    df = df.withColumn("banner", strip(F.col("_hit"))).withColumn(
-        "_text",
-        F.when(cut > 0, F.concat(F.left(text, cut - 1), F.substr(text, cut + F.length("_hit")))).otherwise(text),
-    )
-    df = df.withColumn("_cut", F.regexp_instr(text, F.lit(NOCASE_LINES + specs.QUOTE_START)))
-    df = df.withColumn("quoted", F.when(cut > 0, strip(F.substr(text, cut))).otherwise(F.lit(""))).withColumn(
-        "_text", F.when(cut > 0, F.left(text, cut - 1)).otherwise(text)
-    )
-    # a sign-off needs text above it: mask the first visible letter, so that the first line can never be one
-    first = F.regexp_instr(text, F.lit(r"\S"))
-    masked = F.when(first > 0, F.concat(F.left(text, first - 1), F.lit("x"), F.substr(text, first + 1))).otherwise(text)
-    df = df.withColumn("_masked", masked)
-    sign, dashes = (F.nullif(F.regexp_instr(F.col("_masked"), F.lit(NOCASE_LINES + p)), F.lit(0)) for p in (specs.SIGN_OFF, specs.SIGN_DASHES))
-    df = df.withColumn("_cut", F.coalesce(F.least(sign, dashes), F.lit(0)))
-    df = df.withColumn("signature", F.when(cut > 0, strip(F.substr(text, cut))).otherwise(F.lit(""))).withColumn(
-        "_text", strip(F.when(cut > 0, F.left(text, cut - 1)).otherwise(text))
-    )
-    return df.withColumn("message", strip(sub(text, specs.GREETING, "", NOCASE))).drop("_text", "_cut", "_hit", "_masked")
+    whole = F.replace(F.coalesce(body, F.lit("")), F.lit("\r\n"), F.lit("\n"))
+    head = F.left(whole, F.lit(specs.BANNER_WINDOW))
+    first_banner = NOCASE_LINES + r"\A((?s:.*?))" + specs.BANNER_LINE
+    rest = F.concat(F.regexp_replace(head, first_banner, "$1"), F.substr(whole, F.lit(specs.BANNER_WINDOW + 1)))
+    thread = NOCASE_LINES + specs.QUOTE_START + r"(?s:.*)"
+    own = F.regexp_replace(rest, thread, "")
+    # a sign-off needs text above it: the part before it starts with white space and one visible character
+    closing = NOCASE_LINES + rf"\A((?s:\s*+\S.*?))((?:{specs.SIGN_OFF}|{specs.SIGN_DASHES})(?s:.*))\z"
+    text = strip(F.regexp_replace(own, closing, "$1"))
+    return {
+        "banner": strip(F.regexp_extract(head, NOCASE_LINES + specs.BANNER_LINE, 0)),
+        "quoted": strip(F.regexp_extract(rest, thread, 0)),
+        "signature": strip(F.regexp_extract(own, closing, 2)),
+        "message": strip(sub(text, specs.GREETING, "", NOCASE)),
+    }
+
+
+def clean_body(messages: DataFrame, body: str = "body") -> DataFrame:
+    """T1 on a message table."""
+    return messages.withColumns(body_parts(F.col(body)))
 
 
 def snippet(message: Column) -> Column:

@@ -92,7 +92,7 @@ def workload(cases: DataFrame, users: DataFrame) -> DataFrame:
 def time_to_resolve(cases: DataFrame) -> DataFrame:
     """Resolved cases, and the mean minutes where the answer came after the check."""
     settled = F.col("resolved") & F.col("resolved_at").isNotNull() & F.col("processed_at").isNotNull()
-    micros = F.unix_micros("resolved_at") - F.unix_micros("processed_at")
+    micros = F.unix_micros(F.col("resolved_at").cast("timestamp")) - F.unix_micros(F.col("processed_at").cast("timestamp"))
     # whole microseconds are summed, so the mean does not depend on the order of the parts
     total = F.sum(F.when(settled & (micros >= 0), micros).cast("decimal(38,0)"))
     return cases.agg(F.count_if(settled).alias("resolved"), F.round(F.try_divide(total.cast("double"), F.count_if(settled & (micros >= 0))) / 60e6, 1).alias("avg_minutes"))

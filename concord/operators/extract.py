@@ -364,9 +364,9 @@ def verify_grounded(proposals: DataFrame, docs: DataFrame, text: str = "text") -
 
     Unknown fields and empty values are dropped.
     """
-    wanted = proposals.where(F.col("field").isin(specs.FIELDS) & (F.trim("value") != ""))
+    wanted = proposals.where(F.col("field").isin(specs.FIELDS) & (strip(F.col("value")) != ""))
     df = wanted.join(docs.select("doc_id", F.lower(text).alias("_text")), "doc_id")
-    grounded = F.contains("_text", F.lower(F.trim("value")))
+    grounded = F.contains("_text", F.lower(strip(F.col("value"))))
     return df.withColumn("grounded", grounded).withColumn("confidence", F.when(grounded, F.lit(0.8)).otherwise(F.lit(0.4))).drop("_text")
 
 

@@ -378,7 +378,7 @@ def value_overrides(spark, sf):
 def grounded_values(spark, sf):
     """Every document's own middle as a proposal, next to the first words of the next benchmark item."""
     t = b.load(spark, sf, "documents", "benchmark")
-    own = t["documents"].select("doc_id", F.lit("shipper").alias("field"), F.upper(F.substring_index("text", ".", 1)).alias("value"))
+    own = t["documents"].select("doc_id", F.lit("shipper").alias("field"), F.lower(F.substring_index("text", ".", 1)).alias("value"))
     other = t["benchmark"].select(F.col("item_id").alias("doc_id"), F.lit("consignee").alias("field"), F.substring_index("text", " ", 3).alias("value"))
     return E.verify_grounded(own.unionByName(other), t["documents"]).select("doc_id", "field", "grounded", "confidence")
 

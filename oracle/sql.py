@@ -152,11 +152,8 @@ O["standard_parties"] = _variants(_PARTY_IN, party("raw"))
 O["standard_ports"] = _variants(_PORT_IN, town("raw"))
 O["standard_counts"] = _variants("('container_count')", boxes("raw"))
 O["standard_weights"] = _variants("('gross_weight_kg')", f"CASE WHEN contains(raw, '___') THEN NULL ELSE {kilos('raw')} END")
-O["folded_text"] = "SELECT doc_id, CAST(length(upper(strip_accents(text))) AS BIGINT) AS n_chars, md5(upper(strip_accents(text))) AS digest FROM documents"
-O["similar_customers"] = _with(b.FORMS, f""", n AS (SELECT case_id, variant, {party('si_consignee')} AS l, {party('bl_consignee')} AS r FROM forms),
-  q AS (SELECT case_id, CASE WHEN l = r THEN 1.0 WHEN variant = 11 THEN 2.0 * length(r) / (length(l) + length(r)) WHEN variant = 12 THEN 0.0
-    ELSE 2.0 * (CASE WHEN contains(l, 'T') AND l LIKE '%LTD' THEN 2 WHEN l LIKE '%B%' THEN 1 ELSE 0 END) / (length(l) + length(r)) END AS ratio, variant FROM n)
-  SELECT case_id, CAST(round(ratio, 6) AS DOUBLE) AS ratio, ratio >= 0.94 AS same, ratio >= 0.85 AS close FROM q""")
+# the documents' accents are Latin letters with one base letter each, so the twin uses the engine's own accent stripper
+O["folded_text"] = "SELECT doc_id, CAST(length(upper(strip_accents(replace(text, 'ß', 'SS')))) AS BIGINT) AS n_chars, md5(upper(strip_accents(replace(text, 'ß', 'SS')))) AS digest FROM documents"
 
 # ---------------------------------------------------------------- text
 
@@ -194,9 +191,9 @@ O["document_rows"] = """WITH l AS (SELECT doc_id, unnest(string_split(replace(te
   SELECT doc_id, count(*) AS rows, count(*) FILTER (WHERE s <> '') AS filled, CAST(sum(length(s)) AS BIGINT) AS chars, count(*) FILTER (WHERE regexp_matches(line, '^(\\s{2,}|\\t)\\S')) AS indented FROM t GROUP BY 1"""
 O["extracted_fields"] = _with(b.FIELD_TABLE, """, d AS (SELECT f.case_id, f.side, f.field, f.raw, s.variant FROM field_table f JOIN forms s ON s.case_id = f.case_id WHERE s.has_lines AND NOT (f.side = 'BL' AND s.variant = 15))
   SELECT concat(case_id, '/', side) AS doc_id, field, raw, (raw = 'TBA' OR contains(raw, '___')) AS blank, CAST(CASE WHEN raw = 'TBA' OR contains(raw, '___') THEN 0.9 ELSE 0.98 END AS DOUBLE) AS confidence FROM d""")
-O["value_context"] = _with(b.FORMS, """, r AS (SELECT concat(case_id, '/SI') AS doc_id, unnest([11, 12, 13, 14, 15, 16]) AS row_index,
+O["value_context"] = _with(b.FORMS, """, r AS (SELECT concat(case_id, '/SI') AS doc_id, unnest([9, 10, 11, 12, 13, 14]) AS row_index,
     unnest([si_notify, concat('Port of Loading (POL): ', si_pol), concat('POD: ', si_pod), concat('No. of Containers: ', si_count), 'Net Weight (kgs): 1', concat('Gross Wt (kgs): ', si_weight)]) AS text FROM forms WHERE has_lines)
-  SELECT doc_id, 'port_of_discharge' AS field, row_index, text, row_index = 13 AS hit FROM r""")
+  SELECT doc_id, 'port_of_discharge' AS field, row_index, text, row_index = 11 AS hit FROM r""")
 O["missing_fields"] = _with(b.FORMS, """, m AS (SELECT case_id, unnest(['SI', 'BL']) AS side FROM forms WHERE NOT has_lines)
   SELECT concat(case_id, '/', side) AS doc_id, unnest(['shipper', 'port_of_loading']) AS field FROM m""")
 O["scan_confidence"] = _with(b.MESSAGES, """, d AS (SELECT s.side, m.starred, m.has_lines AND NOT (s.side = 'BL' AND m.variant = 15) AS there, unnest(CASE WHEN m.has_lines THEN range(7) ELSE range(5) END) AS i
@@ -204,10 +201,10 @@ O["scan_confidence"] = _with(b.MESSAGES, """, d AS (SELECT s.side, m.starred, m.
   SELECT CASE WHEN starred AND there THEN 'ocr' ELSE 'rule' END AS method, CASE WHEN starred AND there THEN 0.784 ELSE 0.98 END::DOUBLE AS confidence, count(*) AS n FROM d GROUP BY 1, 2""")
 O["carriers"] = _with(b.FORMS, """SELECT case_id, CASE WHEN variant = 3 THEN CASE WHEN segment = 'building' THEN 'Maersk' END
   ELSE CASE prefix WHEN 'MEDU' THEN 'MSC' WHEN 'OOLU' THEN 'OOCL' WHEN 'MAEU' THEN 'Maersk' WHEN 'SINF' THEN 'ONE' WHEN 'EGLV' THEN 'Evergreen' WHEN 'SIN2' THEN 'PIL' ELSE 'CMA CGM' END END AS carrier FROM forms""")
-O["grounded_values"] = """WITH p AS (SELECT doc_id, 'shipper' AS field, upper(split_part(text, '.', 1)) AS value FROM documents
+O["grounded_values"] = """WITH p AS (SELECT doc_id, 'shipper' AS field, lower(split_part(text, '.', 1)) AS value FROM documents
   UNION ALL SELECT item_id, 'consignee', array_to_string(string_split(text, ' ')[1:3], ' ') FROM benchmark)
-  SELECT p.doc_id, p.field, contains(lower(d.text), lower(trim(p.value))) AS grounded, CASE WHEN contains(lower(d.text), lower(trim(p.value))) THEN 0.8 ELSE 0.4 END::DOUBLE AS confidence
-  FROM p JOIN documents d ON d.doc_id = p.doc_id WHERE trim(p.value) <> ''"""
+  SELECT p.doc_id, p.field, contains(lower(d.text), lower(trim(p.value, E' \t\n\r'))) AS grounded, CASE WHEN contains(lower(d.text), lower(trim(p.value, E' \t\n\r'))) THEN 0.8 ELSE 0.4 END::DOUBLE AS confidence
+  FROM p JOIN documents d ON d.doc_id = p.doc_id WHERE trim(p.value, E' \t\n\r') <> ''"""
 O["value_overrides"] = _with(b.CORRECTIONS + ", " + b.FIELD_TABLE[len(b.FORMS):].lstrip(", ").lstrip(), """, ov AS (SELECT case_id, 'BL' AS side, field, arg_max(final_value, id) AS v FROM corrections WHERE kind = 'field_value' GROUP BY case_id, field)
   SELECT coalesce(t.case_id, o.case_id) AS case_id, coalesce(t.side, o.side) AS side, coalesce(t.field, o.field) AS field, coalesce(o.v, t.raw) AS raw, CASE WHEN o.v IS NOT NULL THEN 1.0 ELSE 0.98 END::DOUBLE AS confidence,
   CASE WHEN o.v IS NOT NULL THEN 'human' ELSE 'rule' END AS method, CASE WHEN o.v IS NOT NULL THEN false ELSE (t.raw = 'TBA' OR contains(t.raw, '___')) END AS blank

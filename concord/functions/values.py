@@ -37,9 +37,9 @@ def ascii_upper(value: Column) -> Column:
     source, target, longer = _fold_tables()
     folded = F.translate(sub(value, r"[̀-ͯ]", ""), source, target)
     rare = "[" + "".join(ch for ch, _ in longer) + "]"
-    expanded = folded
-    for ch, text in longer:
-        expanded = F.replace(expanded, F.lit(ch), F.lit(text))
+    # one fold over a list of "character + expansion" keeps the expression small wherever it is inlined
+    listed = F.split(F.lit("\x02".join(ch + text for ch, text in longer)), "\x02")
+    expanded = F.aggregate(listed, folded, lambda acc, p: F.replace(acc, F.left(p, F.lit(1)), F.substr(p, F.lit(2))))
     folded = F.when(folded.rlike(rare), expanded).otherwise(folded)
     return F.upper(F.when(value.rlike(r"[^\x00-\x7F]"), folded).otherwise(value))
 

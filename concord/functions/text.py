@@ -91,7 +91,7 @@ def filename_role(path: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Array of sentences. A piece after an abbreviation ("no.", "ref.") of the same line is joined back."""
-    lines = F.split(F.coalesce(text, F.lit("")), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]")
+    lines = F.split(F.coalesce(text, F.lit("")), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
     pieces = F.flatten(
         F.transform(lines, lambda line: F.transform(F.split(line, r"(?U)(?<=[.!?])\s+"), lambda p: F.struct(line.alias("line"), strip(p).alias("piece"))))
     )

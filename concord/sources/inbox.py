@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from concord.functions.regex import first_of
 
@@ -65,7 +66,7 @@ def sniff_format(content: Column, name: Column) -> Column:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _decode_other(content: pd.Series) -> pd.Series:
     def one(data: bytes | None) -> str | None:
         if data is None:

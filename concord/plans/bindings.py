@@ -201,6 +201,8 @@ def load(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
 
 def bind(spark: SparkSession, sf_dir: str, ctes: str, select: str) -> DataFrame:
     """Run a rendering query over the driver's tables."""
+    # the rendered rows are small but costly to work on: keep them spread over the cores after a shuffle
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "32k")
     for name in ("orders", "lineitem", "customer", "supplier", "events"):
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
     return spark.sql(f"WITH {ctes} {select}" if ctes else select)

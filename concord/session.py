@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,13 +32,17 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A folder every executor can see: under spark.checkpoint.dir, or a new local one where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="concord-")
+    """A folder every executor can see: under spark.checkpoint.dir, or under the session's warehouse where that is unset (tests)."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_shared")
     return os.path.join(root, name)
 
 
+def ensure_checkpoints(spark: SparkSession) -> None:
+    """Reliable checkpoints go to spark.checkpoint.dir; a folder of our own is set only where that is unset (tests)."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or shared_dir(spark, "checkpoints"))
+
+
 def new_run_dir(spark: SparkSession) -> str:
     """A folder of its own for the stage tables of one run."""
     return os.path.join(shared_dir(spark, "runs"), uuid.uuid4().hex)

@@ -98,3 +98,13 @@ def arrow_schema(schema: T.StructType) -> pa.Schema:
 def spans_text(spans: Sequence[tuple[int, str, int]]) -> str:
     """kind:start:end of (start, kind, end) in the given order, comma-joined."""
     return ",".join(f"{kind}:{start}:{end}" for start, kind, end in spans)
+
+
+def boxed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row, doc_id, text): the whole row out of the way of clashing names, and what an operator reads of it."""
+    return docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+def unboxed(df: DataFrame, names: Sequence[str], **changed) -> DataFrame:
+    """The columns of the boxed rows, in order; `changed` gives new values for some of them."""
+    return df.select(*[changed[n].alias(n) if n in changed else F.col("row").getField(n).alias(n) for n in names])

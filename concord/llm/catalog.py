@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from concord.llm import simhash_tree
+from concord.llm import bin_slack, license_scan, simhash_tree, suffix_match
 
-_MODULES = (simhash_tree,)
+_MODULES = (bin_slack, license_scan, simhash_tree, suffix_match)
 
 QUERIES = {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}

@@ -302,7 +302,6 @@ RULES = r"""
 3 gemma gemma terms of use
 [rights]
 3 all-rights-reserved all rights reserved
-3 all-rights-reserved alle rechte vorbehalten
 4 rights-reserved (?:some|certain) rights reserved
 [droits]
 3 all-rights-reserved tous droits r.{1,2}serv.{1,2}s
@@ -322,21 +321,27 @@ RULES = r"""
 3 cla contributor license agreement
 3 license-agreement software license agreement
 [trademark]
-4 trademark (?:registered )?trademarks? (?:of|are the property of)
+4 trademark (?:a )?(?:registered )?trademark of
+[trademarks]
+4 trademark (?:registered )?trademarks (?:of|are the property of)
 [copyright]
 3 copyright-notice copyright c? ?(?:19|20)[0-9][0-9]
 4 copyright-notice copyright (?:holders?|owners?|notice)
 [warranty]
-3 no-warranty without warrant(?:y|ies) of any kind
+3 no-warranty without warranty of any kind
 3 no-warranty (?:comes with )?absolutely no warranty
-3 no-warranty provided as is without (?:any )?(?:express or implied )?warrant(?:y|ies)
+3 no-warranty provided as is without (?:any )?(?:express or implied )?warranty
+[warranties]
+3 no-warranty without warranties (?:or conditions )?of any kind
+3 no-warranty provided as is without (?:any )?(?:express or implied )?warranties
 [licence]
 3 licence (?:released|licensed|distributed|published) under (?:the |a )?(?:[a-z0-9]+ ){1,4}licence
 [license]
 2 license-file see (?:the )?(?:accompanying )?license(?: file| txt| md)? for (?:more )?(?:details|information|terms)
 3 license-custom (?:released|licensed|distributed|published) under (?:the |a )?(?:[a-z0-9]+ ){1,4}license
-4 license-custom (?:this|the) (?:work|software|project|document|file|program|code) is licensed under
 4 license-generic license identifier
+[licensed]
+4 license-custom (?:this|the) (?:work|software|project|document|file|program|code) is licensed under
 [lizenz]
 3 license-custom unter (?:der|einer) (?:[a-z0-9]+ ){1,4}lizenz
 [licencia]

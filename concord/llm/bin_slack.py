@@ -28,19 +28,20 @@ from concord.llm.common import id_and_text, slices, staged, table
 CAPACITY = 1024
 END_ID = 2
 #: Pieces that one rank group holds on average.
-GROUP_ROWS = 20_000
+GROUP_ROWS = 5_000
 #: Text parts whose ids a worker remembers before it starts anew; bounds memory, not results.
-MEMO_PARTS = 600_000
+MEMO_PARTS = 1_000_000
 
-_RUN = re.compile(r" (?:\s|\Z)")
+_PART = re.compile(r" ?[^ \n]+|\n")
 _CUT = re.compile(r" (?=\S)")
 
 
 class Encoder:
     """Ids of whole texts as little-endian bytes.
 
-    The tokenizer splits a text before each space that precedes another character, whatever stands around it, so such
-    parts are encoded once and remembered.
+    The tokenizer splits a text around single line feeds and before each space that precedes another character, whatever
+    stands around them, so such parts are encoded once and remembered. Texts with runs of white space, or with other white
+    space than these two, are cut only before a space that precedes another character, where a cut is always right.
     """
 
     def __init__(self, path: str) -> None:
@@ -49,22 +50,63 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        vocab = self.tokenizer.get_vocab()
+        self.token_bytes = np.zeros(max(vocab.values()) + 1, np.int64)
+        for token, i in vocab.items():
+            self.token_bytes[i] = len(token)  # one character of a byte-level token stands for one byte
         self.memo: dict[str, bytes] = {}
+        self.odd: set[str] = set()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = []
-        for text in texts:
-            cut = _CUT.split(text) if _RUN.search(text) else text.split(" ")
-            parts.append([x if i == 0 else " " + x for i, x in enumerate(cut)])
+        even = ["  " not in x and " \n" not in x and "\n\n" not in x and not x.endswith(" ") for x in texts]
+        parts = [_PART.findall(x) if ok else self._cut(x) for x, ok in zip(texts, even)]
         if len(self.memo) > MEMO_PARTS:
             self.memo.clear()
-        new = list({p for x in parts for p in x if p not in self.memo})
-        for i in range(0, len(new), 10_000):
-            some = new[i : i + 10_000]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.memo[p] = np.array(e.ids, "<u4").tobytes()
+            self.odd.clear()
+        self._learn({p for x in parts for p in x if p not in self.memo})
+        again = [i for i, x in enumerate(parts) if even[i] and not self.odd.isdisjoint(x)] if self.odd else []
+        for i in again:
+            parts[i] = self._cut(texts[i])
+        self._learn({p for i in again for p in parts[i] if p not in self.memo})
         return [b"".join(map(self.memo.__getitem__, x)) for x in parts]
 
+    @staticmethod
+    def _cut(text: str) -> list[str]:
+        return [x if i == 0 else " " + x for i, x in enumerate(_CUT.split(text))]
+
+    def _learn(self, new: set[str]) -> None:
+        """Ids of new parts; those after whose letters one mark stands share the ids of the rest."""
+        plain, marked = set(), []
+        for p in new:
+            if len(p.split(None, 1)) != 1 or p.lstrip(" ") != p.strip():  # white space elsewhere than in front
+                if p != "\n":
+                    self.odd.add(p)
+                self.memo[p] = self._ids(p)
+            elif len(p) > 2 and p[-1] in ".,;:!?" and p[-2].isalpha():
+                marked.append(p)
+                plain.update((p[:-1], p[-1]))
+            else:
+                plain.add(p)
+        some = [p for p in plain if p not in self.memo]
+        for i in range(0, len(some), 2000):
+            self._learn_joined(some[i : i + 2000])
+        for p in marked:
+            self.memo[p] = self.memo[p[:-1]] + self.memo[p[-1]]
+
+    def _learn_joined(self, some: list[str]) -> None:
+        """Parts encoded as one text with line feeds between them, cut again by the bytes of the tokens."""
+        ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.cumsum(self.token_bytes[ids])
+        size = np.fromiter((len(p.encode()) for p in some), np.int64, len(some))
+        start = np.cumsum(size + 1) - size - 1
+        first, last = np.searchsorted(ends, start, "right"), np.searchsorted(ends, start + size, "right")
+        exact = ends[last - 1] == start + size
+        for p, a, b, ok in zip(some, first.tolist(), last.tolist(), exact.tolist()):
+            self.memo[p] = ids[a:b].tobytes() if ok else self._ids(p)
+
+    def _ids(self, part: str) -> bytes:
+        return np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
+
 
 _ENCODERS: dict[str, Encoder] = {}
 

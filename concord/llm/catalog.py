@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from concord.llm import anchor_pii, bin_slack, gru_lm, license_scan, prefix_hash, randomness_tests, simhash_tree, suffix_match, toxicity_gru, warc_chunks
 
 _MODULES = (anchor_pii, bin_slack, gru_lm, license_scan, prefix_hash, randomness_tests, simhash_tree, suffix_match, toxicity_gru, warc_chunks)
 
-QUERIES = {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
+QUERIES = {name: fn for m in _MODULES for name, fn in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}

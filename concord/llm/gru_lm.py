@@ -129,8 +129,8 @@ class Model:
         w = lambda *s, scale: (rng.standard_normal(s) * scale).astype(np.float32)
         self.p = {
             "emb": w(_START + 1, 3 * HIDDEN, scale=0.2), "u": w(HIDDEN, 3 * HIDDEN, scale=0.3),
-            "wc": w(HIDDEN, CLASSES, scale=0.1), "bc": np.zeros(CLASSES, np.float32),
-            "wo": w(HEAD, HIDDEN, scale=0.1), "bo": np.zeros(HEAD, np.float32),
+            "wc": w(HIDDEN, CLASSES, scale=0.02), "bc": np.zeros(CLASSES, np.float32),
+            "wo": w(HEAD, HIDDEN, scale=0.02), "bo": np.zeros(HEAD, np.float32),
         }
         self.p["bo"][heads:] = -30.0  # places of the head that no word takes
 

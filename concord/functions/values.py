@@ -83,15 +83,15 @@ def weight_kg(value: Column, label: Column | None = None) -> Column:
 
 def container_count(value: Column) -> Column:
     """struct(count, sizes): sized groups, else a bracketed number, else a bare number, else number words."""
-    s = F.translate(F.upper(value), "×*", "XX")
+    s = ascii_upper(F.translate(value, "×*", "XX"))  # digits of every script become 0-9
     groups = F.regexp_extract_all(s, F.lit(specs.SIZED_CONTAINERS), F.lit(0))
     sizes = F.transform(groups, lambda g: F.concat(F.regexp_extract(g, specs.SIZED_CONTAINERS, 2), F.regexp_extract(g, specs.SIZED_CONTAINERS, 3)))
     words = F.filter(F.transform(F.regexp_extract_all(s, F.lit("[A-Z]+"), F.lit(0)), lambda w: look_up(specs.NUMBER_WORDS, w)),
                      lambda n: n.isNotNull())
     single = F.coalesce(extract(s, r"\((\d{1,3})\)", 1, PLAIN), extract(s, specs.BARE_COUNT, 1, PLAIN))
     counted = F.when(F.size(words) > 0, F.aggregate(words, F.lit(0), lambda acc, n: acc + n))
-    count = F.when(F.size(groups) > 0, F.aggregate(groups, F.lit(0), lambda acc, g: acc + F.regexp_extract(g, r"^\d+", 0).cast("int"))).otherwise(
-        F.coalesce(single.cast("int"), counted)
+    count = F.when(F.size(groups) > 0, F.aggregate(groups, F.lit(0), lambda acc, g: acc + F.coalesce(F.regexp_extract(g, r"^\d+", 0).try_cast("int"), F.lit(0)))).otherwise(
+        F.coalesce(single.try_cast("int"), counted)
     )
     return F.struct(count.alias("count"), F.coalesce(sizes, F.array().cast("array<string>")).alias("sizes"))
 

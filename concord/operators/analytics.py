@@ -205,9 +205,9 @@ def cost_rollup(usage: DataFrame, cases: DataFrame) -> DataFrame:
     )
 
 
-def worst_hotspot(cases: DataFrame, dim: str, min_support: int = 3, n: int = 12) -> DataFrame:
-    """Among the reported hotspots, the one with the highest rate that has enough checks and a mismatch."""
-    listed = hotspots(cases, dim, n).where((F.col("checked") >= min_support) & (F.col("mismatch") > 0))
+def worst_hotspot(cases: DataFrame, dim: str, min_support: int = 3) -> DataFrame:
+    """Of all values with enough checks and a mismatch, the one with the highest rate."""
+    listed = hotspot_table(cases, dim).where((F.col("checked") >= min_support) & (F.col("mismatch") > 0))
     return listed.orderBy(F.col("rate").desc(), F.col("mismatch").desc(), "name").limit(1)
 
 
@@ -216,7 +216,7 @@ def advice_flags(cases: DataFrame, corrections: DataFrame) -> DataFrame:
     main = headline(cases)
     unreadable = review_reason_counts(cases).where(F.col("review_reason") == "unreadable").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).scalar()
     rate = correction_rate(corrections, cases).select("rate").scalar()
-    hottest = hotspots(cases, "carrier").where((F.col("checked") >= 3) & (F.col("mismatch") > 0)).agg(F.coalesce(F.max("rate"), F.lit(0.0)).alias("r")).scalar()
+    hottest = hotspot_table(cases, "carrier").where((F.col("checked") >= 3) & (F.col("mismatch") > 0)).agg(F.coalesce(F.max("rate"), F.lit(0.0)).alias("r")).scalar()
     df = main.withColumn("_u", unreadable).withColumn("_c", rate).withColumn("_h", hottest)
     return df.select(
         (F.col("_u") >= 3).alias("ask_for_text_files"),

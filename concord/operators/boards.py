@@ -99,7 +99,3 @@ def select_for_run(messages: DataFrame, ids: DataFrame | None = None, failed_of:
     if failed_of is not None:
         return messages.join(failed_of.where(F.col("status") == "FAILED").select("case_id"), "case_id", "left_semi")
     return messages
-
-
-def status_order(status: Column) -> Column:
-    return first_of([(status == s, F.lit(i)) for i, s in enumerate(["FAILED", "NEEDS_REVIEW", "MISMATCH", "OK", "PENDING"])])

@@ -27,12 +27,11 @@ ROWS_AHEAD = specs.MAX_VALUE_LINES
 
 def read_state(text: Column) -> Column:
     """S3: why a text document cannot be read, null when it can."""
-    sample = F.left(text, F.lit(specs.UNPRINTABLE_SAMPLE))
-    odd = F.length(sample) - F.length(F.regexp_replace(sample, "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f�]", ""))
+    odd = F.length(text) - F.length(F.regexp_replace(text, "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f�]", ""))
     return first_of(
         [
             (text.isNull() | ~text.rlike(r"(?U)\S"), F.lit("file is empty")),
-            (odd > 0.10 * F.length(sample), F.lit("file content is not readable text")),
+            (odd > 0.10 * F.length(text), F.lit("file content is not readable text")),
         ]
     )
 
@@ -85,32 +84,34 @@ def _title_hit(text: Column) -> Column:
     )
 
 
-def detect_doc_type(docs: DataFrame, doc_rows: DataFrame | None = None, text: str = "text") -> DataFrame:
+def detect_doc_type(
+    docs: DataFrame, doc_rows: DataFrame | None = None, text: str = "text", *, title_rows: int = specs.TITLE_ROWS, title_chars: int = specs.TITLE_MAX_CHARS
+) -> DataFrame:
     """Add type, subtype, type_confidence.
 
-    The title is looked for in the first six non-blank rows, then in the first part of the body, then in the file
-    name. With a text column all three are read off the document's own row; documents known only as rows pass
+    The title is looked for in the first `title_rows` non-blank rows of at most `title_chars` characters (which define
+    what a title is), then in the whole body, then in the file name. With a text column all three are read off the document's own row; documents known only as rows pass
     `doc_rows`, of which just the first rows of each document are used.
     """
     if doc_rows is None:
         lines = F.split(F.replace(F.col(text), F.lit("\r\n"), F.lit("\n")), "\n")
         trimmed = F.filter(F.transform(lines, lambda line: sub(line, r"\s+$", "")), lambda line: line != "")
-        df = docs.withColumn("_heads", F.slice(trimmed, 1, specs.TITLE_ROWS))
-        df = df.withColumn("_body", F.left(F.regexp_replace(F.replace(F.col(text), F.lit("\r\n"), F.lit("\n")), r"(?m)[^\S\n]+$", ""), F.lit(specs.TITLE_BODY_WINDOW)))
+        df = docs.withColumn("_heads", F.slice(trimmed, 1, title_rows))
+        in_body = _title_hit(F.regexp_replace(F.replace(F.col(text), F.lit("\r\n"), F.lit("\n")), r"(?m)[^\S\n]+$", ""))
     else:
-        # the body window is in characters and a row adds at least its line end: rows past it cannot matter
-        near = doc_rows.where(F.col("row_index") < specs.TITLE_BODY_WINDOW)
-        parts = near.groupBy("doc_id").agg(
-            F.array_sort(F.collect_list(F.when(F.col("text_no") < specs.TITLE_ROWS, F.struct("row_index", "text")))).alias("_h"),
-            F.array_sort(F.collect_list(F.struct("row_index", "text"))).alias("_b"),
+        # titles stand on one row, so the body is tested row by row: per document only the first rows and the first hit of
+        # each title pattern are gathered, and the pattern that comes first in the list wins as in a whole text
+        hits = F.array(*[F.when(matches(F.col("text"), p, NOCASE_LINES), F.struct(F.lit(i).alias("i"), F.lit(k).alias("type"), F.lit(s).cast("string").alias("subtype"))) for i, (k, s, p) in enumerate(specs.TITLE_PATTERNS)])
+        parts = doc_rows.withColumn("_t", F.array_min(F.array_compact(hits))).groupBy("doc_id").agg(
+            F.array_sort(F.collect_list(F.when(F.col("text_no") < title_rows, F.struct("row_index", "text")))).alias("_h"), F.min("_t").alias("_b")
         )
         df = docs.join(parts, "doc_id", "left").withColumn("_heads", F.transform("_h", lambda r: r["text"]))
-        df = df.withColumn("_body", F.left(F.array_join(F.transform("_b", lambda r: r["text"]), "\n"), F.lit(specs.TITLE_BODY_WINDOW))).drop("_h", "_b")
+        in_body = F.struct("_b.type", "_b.subtype")
     titles = F.transform(
-        F.filter("_heads", lambda h: F.length(h) <= specs.TITLE_MAX_CHARS), lambda h: _title_hit(F.regexp_extract(h, r"(?sU)^(.*?)(\s{3,}|$)", 1))
+        F.filter("_heads", lambda h: F.length(h) <= title_chars), lambda h: _title_hit(F.regexp_extract(h, r"(?sU)^(.*?)(\s{3,}|$)", 1))
     )
     df = df.withColumn("_title", F.get(F.filter(titles, lambda t: t.isNotNull()), F.lit(0)))
-    df = df.withColumn("_in_body", F.when(F.col("_title").isNull(), _title_hit(F.col("_body"))))
+    df = df.withColumn("_in_body", F.when(F.col("_title").isNull(), in_body if doc_rows is None else F.when(F.col("_b").isNotNull(), in_body)))
     stem = file_stem(F.col("name"))
     by_name = first_of([(matches(stem, specs.SI_FILE_NAME), F.lit("SI")), (matches(stem, specs.BL_FILE_NAME), F.lit("BL"))])
     readable = read_state(F.col(text)).isNull() if doc_rows is None else F.coalesce("readable", F.lit(True))
@@ -120,7 +121,7 @@ def detect_doc_type(docs: DataFrame, doc_rows: DataFrame | None = None, text: st
         df.withColumn("type", F.when(readable, kind))
         .withColumn("subtype", F.when(readable, F.coalesce("_title.subtype", "_in_body.subtype")))
         .withColumn("type_confidence", F.when(readable, confidence))
-        .drop("_heads", "_body", "_title", "_in_body")
+        .drop("_heads", "_h", "_b", "_title", "_in_body")
     )
 
 
@@ -309,20 +310,23 @@ def detect_carrier(cases: DataFrame, refs: list[str], texts: list[str], knowledg
     """Add `carrier` from reference prefixes, `NAME(REF)` in a text, or an unambiguous name.
 
     `refs` and `texts` name string columns in test order. Fixed prefixes are one CASE chain, longest first; learned
-    ones are looked up by every prefix length they can have, which keeps the prefix test an equi-join.
+    ones are looked up by every prefix length that occurs among them, which keeps the prefix test an equi-join.
     """
-    lengths = list(range(1, 13))
     df = cases
     upper = {r: F.upper(F.col(r)) for r in refs}
     by_ref: list[Column] = []
     learned = None
     if knowledge is not None:
         learned = active_aliases(knowledge, "carrier_prefix")
-        probes = F.explode_outer(F.array_compact(F.array(*[
-            F.when(F.length(upper[r]) >= n, F.struct(F.lit(i).alias("ref_no"), F.lit(n).alias("n"), F.left(upper[r], F.lit(n)).alias("prefix")))
-            for i, r in enumerate(refs) for n in lengths
-        ])))
-        hits = df.select("case_id", probes.alias("p")).select("case_id", "p.*").join(learned, F.col("prefix") == F.col("key"))
+        lengths = learned.where(F.length("key") > 0).agg(F.collect_set(F.length("key")).alias("n")).scalar()
+
+        def probe(i: int, ref: Column) -> Column:
+            fits = F.filter(F.col("_lengths"), lambda n: F.length(ref) >= n)
+            return F.transform(fits, lambda n: F.struct(F.lit(i).alias("ref_no"), n.alias("n"), F.left(ref, n).alias("prefix")))
+
+        none = F.array().cast("array<struct<ref_no:int,n:int,prefix:string>>")
+        probes = F.explode(F.concat(*[F.coalesce(probe(i, upper[r]), none) for i, r in enumerate(refs)]))
+        hits = df.withColumn("_lengths", lengths).select("case_id", probes.alias("p")).select("case_id", "p.*").join(learned, F.col("prefix") == F.col("key"))
         longest = hits.groupBy("case_id", "ref_no").agg(F.max_by(F.struct("n", "value"), "n").alias("hit"))
         picked = longest.groupBy("case_id").agg(F.map_from_entries(F.collect_list(F.struct("ref_no", "hit"))).alias("_learned"))
         df = df.join(picked, "case_id", "left")

@@ -263,7 +263,7 @@ def roll_up(cases: DataFrame, results: DataFrame, reasons: DataFrame | None = No
                          *[F.lit(None).cast(t).alias(n) for n, t in blank.items()])
     facts = facts.unionByName(heads)
     if reasons is not None:
-        extra = reasons.distinct().select("case_id", "reason", "detail", F.lit(None).cast("double").alias("category_confidence"), F.lit(None).cast("boolean").alias("awaiting_draft"),
+        extra = reasons.select("case_id", "reason", "detail", F.lit(None).cast("double").alias("category_confidence"), F.lit(None).cast("boolean").alias("awaiting_draft"),
                                           *[F.lit(None).cast(t).alias(n) for n, t in blank.items() if n not in ("reason", "detail")])
         facts = facts.unionByName(extra)
     priority = _rank(F.col("reason"), specs.REASON_PRIORITY)

@@ -36,7 +36,7 @@ ports AS (SELECT * FROM (VALUES {_PORT_ROWS}) AS p(nk, port, country, code)),
 lines AS (SELECT l_orderkey AS k, CAST(count(*) AS INT) AS n, CAST(sum(l_quantity) AS BIGINT) AS q, min(l_suppkey) AS sk
           FROM lineitem GROUP BY l_orderkey),
 shipment AS (
-  SELECT /*+ SHUFFLE_MERGE(l) */ o.o_orderkey AS k, concat('case_', CAST(o.o_orderkey AS VARCHAR(20))) AS case_id, CAST(o.o_orderkey % 20 AS INT) AS variant,
+  SELECT o.o_orderkey AS k, concat('case_', CAST(o.o_orderkey AS VARCHAR(20))) AS case_id, CAST(o.o_orderkey % 20 AS INT) AS variant,
          o.o_orderdate AS received_at, o.o_orderstatus AS ostatus, o.o_orderpriority AS opriority, o.o_totalprice AS price,
          coalesce(l.n, 0) AS n, coalesce(l.q, 0) AS q, CAST(l.n IS NOT NULL AS BOOLEAN) AS has_lines,
          CASE WHEN s.s_name IS NOT NULL THEN concat('SUPPLIER ', substr(s.s_name, 10)) END AS shipper_core,
@@ -201,8 +201,6 @@ def load(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
 
 def bind(spark: SparkSession, sf_dir: str, ctes: str, select: str) -> DataFrame:
     """Run a rendering query over the driver's tables."""
-    # the rendered rows are small but costly to work on: keep them spread over the cores after a shuffle
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "32k")
     for name in ("orders", "lineitem", "customer", "supplier", "events"):
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
     return spark.sql(f"WITH {ctes} {select}" if ctes else select)

@@ -13,6 +13,8 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # the rendered test rows are small but costly to work on: keep them spread over the cores after a shuffle
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "32k",
 }
 
 

@@ -334,7 +334,7 @@ def _hot(dim: str) -> str:
 
 O["carrier_hotspots"] = _with(b.CASES, _hot("carrier"))
 O["customer_hotspots"] = _with(b.CASES, _hot("customer"))
-O["worst_carrier"] = _with(b.CASES, f", h AS ({_hot('carrier')}) SELECT * FROM h WHERE checked >= 3 AND mismatch > 0 ORDER BY rate DESC, mismatch DESC, name LIMIT 1")
+O["worst_carrier"] = _with(b.CASES, f", h AS ({_hot('carrier').removesuffix(' LIMIT 12')}) SELECT * FROM h WHERE checked >= 3 AND mismatch > 0 ORDER BY rate DESC, mismatch DESC, name LIMIT 1")
 _TEAM = ", ".join(f"({i}, '{n}')" for i, n, _ in b.TEAM)
 O["workload"] = _with(b.CASES, f"SELECT u.name, count(*) AS assigned, count(*) FILTER (WHERE needs_human AND NOT resolved) AS open_review FROM board d JOIN (VALUES {_TEAM}) AS u(uid, name) ON u.uid = d.assignee_id GROUP BY 1")
 O["time_to_resolve"] = _with(b.CASES, """, t AS (SELECT d.resolved, d.received_at AS p, l.r FROM board d LEFT JOIN (SELECT l_orderkey, min(l_shipdate) AS r FROM lineitem GROUP BY 1) l ON l.l_orderkey = d.k)
@@ -363,7 +363,7 @@ O["assisted_counts"] = _with(b.MESSAGES, "SELECT count(*) FILTER (WHERE starred)
 O["cost_by_task"] = f"WITH {b.USAGE} SELECT task, CAST(sum(calls) AS BIGINT) AS calls, round(sum(cost_usd), 4)::DOUBLE AS cost_usd FROM usage_log GROUP BY 1"
 O["cost_rollup"] = _with(b.USAGE + ", " + b.CASES, f""", s AS (SELECT CAST(sum(calls) AS BIGINT) AS calls, sum(cost_usd) AS c, (SELECT count(*) FROM board) AS m, (SELECT count(*) FROM board WHERE {_CHK}) AS k FROM usage_log)
   SELECT calls, round(c, 4)::DOUBLE AS spent_usd, round(c / m, 6)::DOUBLE AS per_message_usd, round(c / k, 6)::DOUBLE AS per_check_usd, round(c / m * 1000, 2)::DOUBLE AS per_1000_messages_usd FROM s""")
-O["report_advice"] = _with(_CORR_BOARD, _HEAD + f""", hot AS ({_hot('carrier')}) SELECT (SELECT count(*) FROM board WHERE {_CHK} AND status = 'NEEDS_REVIEW' AND review_reason = 'unreadable') >= 3 AS ask_for_text_files,
+O["report_advice"] = _with(_CORR_BOARD, _HEAD + f""", hot AS ({_hot('carrier').removesuffix(' LIMIT 12')}) SELECT (SELECT count(*) FROM board WHERE {_CHK} AND status = 'NEEDS_REVIEW' AND review_reason = 'unreadable') >= 3 AS ask_for_text_files,
   ((SELECT count(*) FROM corrections) = 0 AND low_confidence = 0 AND review_rate < 0.15) AS thresholds_look_safe,
   (SELECT round(count(DISTINCT case_id) / (SELECT checks FROM hh), 3) FROM corrections) > 0.1 AS review_learned_aliases, (SELECT max(rate) FROM hot WHERE checked >= 3 AND mismatch > 0) > 0.35 AS second_look_at_hotspot FROM hh""")
 O["suggestion_states"] = f"WITH {b.HISTORY} SELECT CASE action WHEN 'add' THEN 'pending' WHEN 'edit' THEN 'approved' ELSE 'rejected' END AS status, count(*) AS n FROM history GROUP BY 1"

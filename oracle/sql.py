@@ -181,9 +181,9 @@ O["document_types"] = _with(b.DOCUMENTS, """SELECT doc_id, true AS readable, CAS
   CASE WHEN right(doc_id, 2) = 'BL' AND variant = 16 THEN 'PACKING_LIST' END AS subtype, CAST(0.97 AS DOUBLE) AS type_confidence FROM docs""")
 O["document_roles"] = _with(b.DOCUMENTS, "SELECT doc_id, CASE WHEN right(doc_id, 2) = 'SI' THEN 'SI' WHEN variant = 16 THEN NULL ELSE 'BL' END AS role FROM docs")
 O["missing_documents"] = _with(b.FORMS, "SELECT case_id, 'BL' AS role FROM forms WHERE has_lines AND variant = 15")
-O["completeness"] = _with(b.MESSAGES, """SELECT case_id, 'wrong_doc_type' AS reason, concat(case_id, '_BL.txt is a Packing List, not an SI or draft BL') AS detail FROM messages WHERE has_lines AND variant = 16
-  UNION ALL SELECT case_id, 'missing_attachment', 'no draft BL among the attachments' FROM messages WHERE has_lines AND variant = 15
-  UNION ALL SELECT case_id, 'missing_attachment', 'the email refers to SI/BL attachments but none arrived' FROM messages WHERE NOT has_lines AND kind = 'claim'""")
+O["completeness"] = _with(b.MESSAGES, """SELECT case_id, 'wrong_doc_type' AS reason, concat(case_id, '_BL.txt is a Packing List and neither of the two documents to compare') AS detail FROM messages WHERE has_lines AND variant = 16
+  UNION ALL SELECT case_id, 'missing_attachment', 'the draft BL was not attached' FROM messages WHERE has_lines AND variant = 15
+  UNION ALL SELECT case_id, 'missing_attachment', 'files are mentioned in the message, but it came without any' FROM messages WHERE NOT has_lines AND kind = 'claim'""")
 O["inferred_pairs"] = _with(b.DOCUMENTS, "SELECT doc_id, CASE WHEN right(doc_id, 2) = 'SI' THEN 'SI' ELSE 'BL' END AS role, right(doc_id, 2) = 'BL' AS paired FROM docs")
 O["draft_references"] = _with(b.DOCUMENTS, ", r AS (SELECT d.doc_id, f.bl_no FROM docs d JOIN forms f ON f.case_id = d.case_id WHERE right(d.doc_id, 2) = 'BL') SELECT doc_id, bl_no AS reference FROM r")
 O["document_rows"] = """WITH l AS (SELECT doc_id, unnest(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))) AS line FROM documents WHERE regexp_matches(text, '\\S')),

@@ -60,7 +60,7 @@ def knowledge_version(knowledge: DataFrame) -> DataFrame:
 
     Two sums over per-item digests instead of one sorted list, so that no task has to hold the whole table.
     """
-    item = F.md5(F.to_json(F.struct("kind", "key", "value")))
+    item = F.md5(F.concat_ws("\x1f", *[F.coalesce(c, F.lit("\x00")) for c in ("kind", "key", "value")]))
 
     def part(start: int) -> Column:
         return F.conv(F.substring(item, start, 8), 16, 10).cast("decimal(38,0)")

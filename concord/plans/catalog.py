@@ -592,7 +592,8 @@ def situations(spark, sf):
 
 @query
 def filter_options(spark, sf):
-    return Q.filter_options(b.case_board(spark, sf))
+    board = b.case_board(spark, sf)
+    return Q.filter_options(board, G.auto_labels(board))
 
 
 @query

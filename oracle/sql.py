@@ -301,9 +301,25 @@ O["label_usage"] = _with(b.CASES, _LABELS + """, dim AS (SELECT DISTINCT name FR
   SELECT d.name, count(l.case_id) AS n FROM dim d LEFT JOIN labelled l ON l.name = d.name GROUP BY 1""")
 O["latest_activity"] = f"""WITH {b.ACTIVITY}, r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY "at" DESC, id DESC) AS rank FROM activity) SELECT case_id, id, action, rank FROM r WHERE rank <= 30"""
 O["last_changes"] = f"WITH {b.ACTIVITY} SELECT id, action FROM activity ORDER BY id DESC LIMIT 60"
-O["filter_options"] = _with(b.CASES, """SELECT DISTINCT 'carrier' AS kind, carrier AS value FROM board WHERE carrier IS NOT NULL UNION ALL SELECT DISTINCT 'customer', customer FROM board WHERE customer IS NOT NULL
+O["filter_options"] = _with(b.CASES, _AUTO + """ SELECT DISTINCT 'carrier' AS kind, carrier AS value FROM board WHERE carrier IS NOT NULL UNION ALL SELECT DISTINCT 'customer', customer FROM board WHERE customer IS NOT NULL
+  UNION ALL SELECT DISTINCT 'label', name FROM autol
   UNION ALL SELECT 'date_min', strftime(min(received_at), '%Y-%m-%d') FROM board UNION ALL SELECT 'date_max', strftime(max(received_at), '%Y-%m-%d') FROM board""")
 
+_WAITING = "(needs_human AND NOT resolved)"
+_KIND = f"""CASE WHEN status = 'FAILED' THEN 'failed' WHEN status = 'PENDING' OR category IS NULL THEN 'nocheck' WHEN category <> 'BL_COMPARISON' AND {_WAITING} THEN 'kind_unsure'
+  WHEN category = 'SPAM' THEN 'junk' WHEN category <> 'BL_COMPARISON' THEN 'nocheck' WHEN status = 'MISMATCH' THEN 'mismatch' WHEN status = 'OK' THEN CASE WHEN compared THEN 'match' ELSE 'waiting_for_draft' END
+  WHEN is_read AND starred THEN 'undecided' WHEN review_reason = 'missing_attachment' THEN 'missing_doc'
+  WHEN review_reason = 'unreadable' THEN CASE WHEN variant = 12 OR variant NOT IN (10, 12, 17) THEN 'cant_open' ELSE 'scan' END WHEN review_reason = 'wrong_doc_type' THEN 'wrong_doc'
+  WHEN variant IN (10, 12, 17) THEN 'unsure' WHEN variant IN (13, 14) THEN 'blank' ELSE 'not_sure_enough' END"""
+O["situations"] = _with(b.CASES, f""", s AS (SELECT *, {_KIND} AS situation, status = 'FAILED' OR (category = 'BL_COMPARISON' AND status <> 'PENDING') AS closes FROM board),
+  t AS (SELECT *, CASE situation WHEN 'failed' THEN 'failed' WHEN 'nocheck' THEN 'neutral' WHEN 'junk' THEN 'neutral' WHEN 'mismatch' THEN 'mismatch' WHEN 'match' THEN 'ok' WHEN 'waiting_for_draft' THEN 'ok' ELSE 'review' END AS tone,
+    CASE situation WHEN 'failed' THEN 'retry' WHEN 'nocheck' THEN 'none' WHEN 'junk' THEN 'none' WHEN 'kind_unsure' THEN 'confirm' WHEN 'undecided' THEN 'none' WHEN 'unsure' THEN 'decide' ELSE 'send' END AS first_step,
+    coalesce(closes AND is_read AND NOT {_WAITING}, false) AS done FROM s)
+  SELECT case_id, situation, tone, done, CASE WHEN closes AND {_WAITING} AND (status IN ('OK', 'MISMATCH') OR (is_read AND first_step = 'send')) THEN 'confirm' WHEN done AND first_step = 'send' THEN 'none' ELSE first_step END AS step FROM t""")
+O["knowledge_digest"] = f"""WITH {b.HISTORY}, i AS (SELECT md5(concat_ws(chr(31), action, CAST(item_id AS VARCHAR), value)) AS h FROM history),
+  n AS (SELECT count(*) AS items, sum(CAST('0x' || h[1:8] AS UBIGINT)) AS a, sum(CAST('0x' || h[9:16] AS UBIGINT)) AS b FROM i)
+  SELECT items, left(sha1(concat_ws(':', items, a, b)), 10) AS version FROM n"""
+
 # ---------------------------------------------------------------- snapshots
 
 O["message_timeline"] = _with(b.SHIPMENT, """, n AS (SELECT case_id, k, (SELECT count(*) FROM shipment) - k AS back FROM shipment)

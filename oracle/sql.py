@@ -320,6 +320,25 @@ O["knowledge_digest"] = f"""WITH {b.HISTORY}, i AS (SELECT md5(concat_ws(chr(31)
   n AS (SELECT count(*) AS items, sum(CAST('0x' || h[1:8] AS UBIGINT)) AS a, sum(CAST('0x' || h[9:16] AS UBIGINT)) AS b FROM i)
   SELECT items, left(sha1(concat_ws(':', items, a, b)), 10) AS version FROM n"""
 
+_T = {k: v.replace("'", "''") for k, v in specs.REPLY_TEXTS.items()}
+_ASK = {k: [x.replace("'", "''") for x in v.split("{what}")] for k, v in specs.REASON_ASK.items()}
+_WHAT = {"missing_attachment": "'the SI and the draft BL'", "unreadable": "'the attached document(s)'", "wrong_doc_type": "'One of the attachments is not the draft BL'",
+         "missing_value": "CASE WHEN compared AND variant IN (13, 14) THEN 'Consignee' ELSE 'one or more of the key fields' END"}
+_BLOCKS = ", ".join(
+    f"CASE WHEN list_contains(string_split(defect_text, ','), '{f}') THEN concat('  - {specs.FIELD_TITLES[f]}', chr(10), '      SI (correct): ', coalesce(nullif(si_{c}, ''), '-'), chr(10), '      Draft BL:     ', coalesce(nullif(bl_{c}, ''), '-')) END"
+    for f, c in sorted(b.FIELD_COLUMNS, key=lambda p: specs.FIELDS.index(p[0]))
+)
+O["draft_replies"] = _with(b.CASES, f""", x AS (SELECT m.*, f.*EXCLUDE (case_id, variant, has_lines), CASE WHEN m.variant % 2 = 0 THEN concat(' (REF', m.case_id, ')') ELSE '' END AS ref, coalesce(m.review_reason, 'unreadable') AS why
+    FROM board m JOIN (SELECT case_id, variant, has_lines, {', '.join(f'si_{c}, bl_{c}' for _, c in b.FIELD_COLUMNS)} FROM forms) f ON f.case_id = m.case_id
+    WHERE m.category = 'BL_COMPARISON' AND m.status NOT IN ('PENDING', 'FAILED')),
+  y AS (SELECT *, array_to_string([{_BLOCKS}], chr(10)) AS blocks FROM x),
+  z AS (SELECT *, CASE WHEN status = 'OK' AND NOT compared THEN concat('{_T["waiting_head"]}', ref, '{_T["waiting_tail"]}') WHEN status = 'OK' THEN concat('{_T["checked"]}', ref, '{_T["ok_tail"]}')
+    WHEN status = 'MISMATCH' THEN concat('{_T["checked"]}', ref, '{_T["mismatch_middle"]}', CASE WHEN blocks = '' THEN '{_T["nothing_marked"]}' ELSE blocks END, '{_T["mismatch_tail"]}')
+    ELSE concat('{_T["review"]}', ref, '.', chr(10), chr(10), CASE why {' '.join(f"WHEN '{k}' THEN concat('{a}', {_WHAT[k]}, '{z}')" for k, (a, z) in _ASK.items())} END) END AS middle,
+    concat(CASE WHEN status = 'MISMATCH' AND ref <> '' THEN concat('Please quote BL no. REF', case_id, ' in your reply.', chr(10)) ELSE '' END, 'Office hours apply.') AS extra FROM y)
+  SELECT case_id, CASE WHEN starts_with(lower(subject), 're:') THEN subject ELSE concat('RE: ', subject) END AS subject,
+    concat('Dear ', CASE WHEN sender LIKE 'hari_m@%' THEN 'Hari' ELSE 'Team' END, ',', chr(10), chr(10), middle, chr(10), chr(10), extra, '{_T["closing"]}{specs.REPLY_SIGNER}') AS body FROM z""")
+
 # ---------------------------------------------------------------- snapshots
 
 O["message_timeline"] = _with(b.SHIPMENT, """, n AS (SELECT case_id, k, (SELECT count(*) FROM shipment) - k AS back FROM shipment)

@@ -10,7 +10,10 @@ import time
 from concord.plans.catalog import QUERIES
 from concord.session import local_session
 
-HEADLINE = ["case_verdicts", "message_traffic", "folder_counts", "case_owners", "report_headline", "carrier_hotspots", "split_scores"]
+HEADLINE = [
+    "case_verdicts", "message_traffic", "folder_counts", "case_owners", "report_headline", "carrier_hotspots", "split_scores",
+    "extracted_fields", "classified_messages", "checked_cases", "draft_replies",
+]
 
 
 def main() -> None:

@@ -47,6 +47,10 @@ def ascii_upper(value: Column) -> Column:
 # ---------------------------------------------------------------- numbers, weights, counts
 
 
+def _folded(value: Column, folded: Column | None) -> Column:
+    return ascii_upper(value) if folded is None else folded
+
+
 def parse_number(value: Column, dot_thousands: Column | bool = True) -> Column:
     """The first number in a text, whatever its separators."""
     dots = F.lit(dot_thousands) if isinstance(dot_thousands, bool) else dot_thousands
@@ -81,9 +85,12 @@ def weight_kg(value: Column, label: Column | None = None) -> Column:
     return F.round(parse_number(value, factor == 1.0) * factor, 3)
 
 
-def container_count(value: Column) -> Column:
-    """struct(count, sizes): sized groups, else a bracketed number, else a bare number, else number words."""
-    s = ascii_upper(F.translate(value, "×*", "XX"))  # digits of every script become 0-9
+def container_count(value: Column, folded: Column | None = None) -> Column:
+    """struct(count, sizes): sized groups, else a bracketed number, else a bare number, else number words.
+
+    `folded` is ascii_upper(value) where a query has it as a column already; so in the functions below.
+    """
+    s = F.translate(_folded(value, folded), "×*", "XX")  # digits of every script are 0-9 by then
     groups = F.regexp_extract_all(s, F.lit(specs.SIZED_CONTAINERS), F.lit(0))
     sizes = F.transform(groups, lambda g: F.concat(F.regexp_extract(g, specs.SIZED_CONTAINERS, 2), F.regexp_extract(g, specs.SIZED_CONTAINERS, 3)))
     words = F.filter(F.transform(F.regexp_extract_all(s, F.lit("[A-Z]+"), F.lit(0)), lambda w: look_up(specs.NUMBER_WORDS, w)),
@@ -99,9 +106,9 @@ def container_count(value: Column) -> Column:
 # ---------------------------------------------------------------- ports
 
 
-def port_parts(value: Column) -> Column:
+def port_parts(value: Column, folded: Column | None = None) -> Column:
     """struct(full, city, country, locode) of a port text, before aliases."""
-    raw = ascii_upper(value)
+    raw = _folded(value, folded)
     locode = F.replace(extract(raw, r"\(\s*([A-Z]{2}\s?[A-Z0-9]{3})\s*\)", 1, PLAIN), F.lit(" "), F.lit(""))
     bare = F.regexp_replace(raw, r"\([^)]*\)", " ")
     listed = F.btrim(F.regexp_replace(bare, "[^A-Z0-9/,]+", " "), F.lit(" ,"))
@@ -137,9 +144,9 @@ def port_key(parts: Column, learned: list[Column] | None = None) -> Column:
 _ANY_LEGAL = "|".join(pattern for pattern, _ in specs.LEGAL_REWRITES)
 
 
-def party_norm(value: Column) -> Column:
+def party_norm(value: Column, folded: Column | None = None) -> Column:
     """One spelling per company: order wording dropped, legal forms rewritten in order, punctuation dropped."""
-    named = F.replace(F.regexp_replace(ascii_upper(value), specs.ORDER_PREFIX, ""), F.lit("."), F.lit(""))
+    named = F.replace(F.regexp_replace(_folded(value, folded), specs.ORDER_PREFIX, ""), F.lit("."), F.lit(""))
     s = named
     for pattern, form in specs.LEGAL_REWRITES:
         s = sub(s, pattern, form)
@@ -154,9 +161,9 @@ def party_core(norm: Column) -> Column:
     return F.array_join(F.filter(F.split(norm, " "), lambda t: ~F.array_contains(drop, t)), " ")
 
 
-def is_order_only(value: Column) -> Column:
+def is_order_only(value: Column, folded: Column | None = None) -> Column:
     """N7."""
-    return matches(ascii_upper(F.coalesce(value, F.lit(""))), specs.ORDER_ONLY, PLAIN)
+    return matches(F.coalesce(_folded(value, folded), F.lit("")), specs.ORDER_ONLY, PLAIN)
 
 
 def is_blank(value: Column) -> Column:

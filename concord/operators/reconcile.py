@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from concord import specs
 from concord.functions.lookup import look_up_in
 from concord.functions.regex import first_of, look_up
-from concord.functions.similarity import ratio_at_least
-from concord.functions.values import container_count, is_order_only, party_core, party_norm, port_candidates, port_key, port_parts, weight_kg
+from concord.functions.similarity import Similarity
+from concord.functions.values import ascii_upper, container_count, is_order_only, party_core, party_norm, port_candidates, port_key, port_parts, weight_kg
 from concord.operators.knowledge import active_aliases
 
 
@@ -24,24 +24,27 @@ def field_grid(cases: DataFrame) -> DataFrame:
 
 
 def standard_forms(field_values: DataFrame, knowledge: DataFrame | None = None) -> DataFrame:
-    """Add the comparable form of every value as `norm`: struct(party, port, parts, count, weight).
+    """Add the comparable form of every value as `norm`: struct(party, core, order_only, port, parts, count, weight).
 
     Runs on the single values, before any shuffle. Learned aliases need three lookups: the party name or the full
     port text, the city, and the city with "PORT " in front.
     """
-    # the field is tested on the input, not around the result: inside a CASE branch Spark does not share subexpressions
-    df = field_values.select(
+    # one fold serves all kinds of values, as a column of its own; the field is tested on the input, not around the
+    # result: inside a CASE branch Spark does not share subexpressions
+    df = field_values.withColumn("_up", ascii_upper(F.when(~_is("gross_weight_kg"), F.col("raw"))))
+    df = df.select(
         "*",
-        F.when(_is(*specs.PARTY_FIELDS), F.col("raw")).alias("_party_text"),
-        F.when(_is(*specs.PORT_FIELDS), F.col("raw")).alias("_port_text"),
-        F.when(_is("container_count"), F.col("raw")).alias("_count_text"),
+        F.when(_is(*specs.PARTY_FIELDS), F.col("_up")).alias("_party_text"),
+        F.when(_is(*specs.PORT_FIELDS), F.col("_up")).alias("_port_text"),
+        F.when(_is("container_count"), F.col("_up")).alias("_count_text"),
         F.when(_is("gross_weight_kg"), F.col("raw")).alias("_weight_text"),
     )
     df = df.select(
         *field_values.columns,
-        party_norm(F.col("_party_text")).alias("_party"),
-        port_parts(F.col("_port_text")).alias("_parts"),
-        container_count(F.col("_count_text")).alias("_count"),
+        party_norm(F.col("_party_text"), F.col("_party_text")).alias("_party"),
+        is_order_only(F.col("_party_text"), F.col("_party_text")).alias("_order_only"),
+        port_parts(F.col("_port_text"), F.col("_port_text")).alias("_parts"),
+        container_count(F.col("_count_text"), F.col("_count_text")).alias("_count"),
         weight_kg(F.col("_weight_text"), F.col("label")).alias("_weight"),
     )
     learned, party = None, F.col("_party")
@@ -55,14 +58,17 @@ def standard_forms(field_values: DataFrame, knowledge: DataFrame | None = None)
             df = look_up_in(df, key, tagged, "key", "value", f"_alias{i}", "case_id")
         learned = [F.col(f"_alias{i}") for i in range(3)]
         party = F.when(party.isNotNull(), F.coalesce("_alias0", "_party"))
+    df = df.withColumn("_party", party)
     norm = F.struct(
-        party.alias("party"),
+        F.col("_party").alias("party"),
+        party_core(F.col("_party")).alias("core"),
+        F.col("_order_only").alias("order_only"),
         port_key(F.col("_parts"), learned).alias("port"),
         F.col("_parts").alias("parts"),
         F.col("_count").alias("count"),
         F.col("_weight").alias("weight"),
     )
-    return df.withColumn("norm", norm).drop("_party", "_parts", "_count", "_weight", "_alias0", "_alias1", "_alias2")
+    return df.withColumn("norm", norm).drop("_party", "_order_only", "_parts", "_count", "_weight", "_alias0", "_alias1", "_alias2")
 
 
 VALUE = ["raw", "confidence", "blank", "method", "norm"]
@@ -102,12 +108,12 @@ def _outcome(result: str, confidence: float) -> Column:
 def _party_rule(match_ratio: float, unsure_ratio: float) -> Column:
     """R2, tested in this order."""
     l, r = F.col("l.norm.party"), F.col("r.norm.party")
-    same_core = (party_core(l) != "") & (party_core(l) == party_core(r))
-    typo, close = ratio_at_least(l, r, match_ratio, unsure_ratio)
+    same_core = (F.col("l.norm.core") != "") & (F.col("l.norm.core") == F.col("r.norm.core"))
+    typo, close = Similarity.at_least(match_ratio), Similarity.at_least(unsure_ratio)
     return first_of(
         [
             (l == r, _outcome("match", 0.99)),
-            (is_order_only(F.col("l.raw")) | is_order_only(F.col("r.raw")), _outcome("unsure", 0.5)),
+            (F.col("l.norm.order_only") | F.col("r.norm.order_only"), _outcome("unsure", 0.5)),
             (same_core, _outcome("unsure", 0.55)),
             ((F.abs(F.length(l) - F.length(r)) <= 2) & typo, _outcome("match", 0.75)),
             (close, _outcome("unsure", 0.5)),
@@ -122,7 +128,7 @@ def _port_rule() -> Column:
     both_countries = (lp["country"] != "") & (rp["country"] != "")
     other_country = both_countries & (lp["country"] != rp["country"])
     other_code = lp["locode"].isNotNull() & rp["locode"].isNotNull() & (lp["locode"] != rp["locode"])
-    (close,) = ratio_at_least(l, r, specs.PORT_UNSURE_RATIO)
+    close = Similarity.at_least(specs.PORT_UNSURE_RATIO)
     return first_of(
         [
             ((l == r) & other_country, _outcome("unsure", 0.5)),
@@ -182,6 +188,8 @@ def reconcile(
 ) -> DataFrame:
     """One row per compared case and field with result, confidence, normal forms and the missing side."""
     df = pair_fields(compared, standard_forms(field_values, knowledge))
+    names = [F.coalesce(f"{s}.norm.party", f"{s}.norm.port") for s in ("l", "r")]
+    df = Similarity(*names, match_ratio, unsure_ratio, specs.PORT_UNSURE_RATIO).add(df)
     l_missing = F.col("l").isNull() | F.coalesce(F.col("l.blank"), F.lit(False))
     r_missing = F.col("r").isNull() | F.coalesce(F.col("r.blank"), F.lit(False))
     side = first_of([(l_missing & r_missing, F.lit("both")), (l_missing, F.lit("SI")), (r_missing, F.lit("BL"))])

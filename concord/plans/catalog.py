@@ -890,3 +890,11 @@ def activity_windows(spark, sf):
     from concord.streaming.activity import window_counts
 
     return window_counts(_events(spark, sf, b.ACTIVITY, "activity"))
+
+
+@query
+def activity_sessions(spark, sf):
+    """W3 batch twin: sessions of each kind of activity, closed by ten quiet minutes."""
+    from concord.streaming.activity import session_counts
+
+    return session_counts(_events(spark, sf, b.ACTIVITY, "activity"), "action", "10 minutes")

@@ -12,6 +12,12 @@ def window_counts(activity: DataFrame, width: str = "10 minutes") -> DataFrame:
     return counted.select(F.col("w.start").alias("window_start"), "action", "n")
 
 
+def session_counts(activity: DataFrame, key: str, gap: str = "30 minutes") -> DataFrame:
+    """Events of a key that follow each other within `gap`, counted per session; for a table and for a stream with a watermark."""
+    counted = activity.groupBy(F.session_window("at", gap).alias("w"), key).agg(F.count(F.lit(1)).alias("n"))
+    return counted.select(key, F.col("w.start").alias("session_start"), "n")
+
+
 def live_counts(activity: DataFrame, width: str = "10 minutes", lateness: str = "30 minutes") -> DataFrame:
     """The streaming form: repeated events (same id) are dropped and late ones accepted up to the watermark, so the
     state holds only the ids and windows of the last `lateness`."""

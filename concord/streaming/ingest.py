@@ -8,6 +8,7 @@ those versions (`latest_case`).
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,13 +25,13 @@ def _write_batch(df: DataFrame, board: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(os.path.join(board, f"batch={batch_id:012d}"))
 
 
-def check_batch(messages: DataFrame, docs: DataFrame, board: str, batch_id: int, *, knowledge: DataFrame | None = None, overrides: DataFrame | None = None,
+def check_batch(messages: DataFrame, docs: DataFrame, board: str, batch_id: int, *, knowledge: DataFrame | None = None, overrides: DataFrame | Callable[[], DataFrame] | None = None,
                 settings: Settings = Settings(), folder: str | None = None) -> None:
     """Check one batch of messages with all their documents and append it as versions of their cases."""
     wanted = docs.join(messages.select("case_id"), "case_id", "left_semi")
     cases = check_cases(messages, wanted, knowledge=knowledge, settings=settings, folder=folder).cases.select(*VERSION_COLUMNS)
-    if overrides is not None:
-        cases = apply_verdicts(cases, overrides)
+    if overrides is not None:  # a function is asked anew for every batch, so decisions made meanwhile count
+        cases = apply_verdicts(cases, overrides() if callable(overrides) else overrides)
     stamped = cases.withColumns({"run_id": F.lit(batch_id).cast("long"), "processed_at": F.current_timestamp()})
     _write_batch(stamped, board, batch_id)
 
@@ -43,7 +44,9 @@ def start_ingest(messages: DataFrame, load_docs, board: str, checkpoint: str, **
     """New messages flow through the check as they arrive. `load_docs(batch)` returns the documents of a batch."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.dropDuplicates(["case_id"])
+        # of several versions of a message in one batch always the same one counts, also when the batch is run again
+        rest = [c for c in batch.columns if c != "case_id"]
+        batch = batch.groupBy("case_id").agg(F.max(F.struct(*rest)).alias("m")).select("case_id", "m.*")
         check_batch(batch, load_docs(batch), board, batch_id, **options)
 
     return messages.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -454,4 +454,8 @@ O["defect_confusion"] = _with(b.CASES, _EVAL + f""", g AS (SELECT unnest({specs.
 O["wrong_cases"] = _with(b.CASES, _EVAL + f" SELECT case_id, {_SPLIT} AS split FROM ev WHERE tc <> pc OR ts <> ps OR tr IS DISTINCT FROM pr OR td <> pd")
 O["activity_windows"] = f"""WITH {b.ACTIVITY} SELECT time_bucket(INTERVAL 10 MINUTE, "at") AS window_start, action, count(*) AS n FROM activity GROUP BY 1, 2"""
 
+O["activity_sessions"] = f"""WITH {b.ACTIVITY}, g AS (SELECT action, "at", CASE WHEN "at" < lag("at") OVER (PARTITION BY action ORDER BY "at") + INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS fresh FROM activity),
+  s AS (SELECT action, "at", sum(fresh) OVER (PARTITION BY action ORDER BY "at" ROWS UNBOUNDED PRECEDING) AS k FROM g)
+  SELECT action, min("at") AS session_start, count(*) AS n FROM s GROUP BY action, k"""
+
 ORACLES = O

@@ -30,7 +30,7 @@ END_ID = 2
 #: Pieces that one rank group holds on average.
 GROUP_ROWS = 5_000
 #: Text parts whose ids a worker remembers before it starts anew; bounds memory, not results.
-MEMO_PARTS = 1_000_000
+MEMO_PARTS = 1_400_000
 
 _PART = re.compile(r" ?[^ \n]+|\n")
 _CUT = re.compile(r" (?=\S)")

@@ -4,7 +4,7 @@ Each word enters as the sum of a vector of the word and the mean vector of its c
 known stem is known. Two recurrent layers read a window of words in both directions, attention pools their states, and a
 logistic unit scores the pooled state. All windows of `WINDOW` words at a distance of `STRIDE` are scored, whatever the
 length of the text; the score of a document is that of its worst window. Training is numpy on the driver over a bounded
-sample of labelled documents (TRAIN_DOCS documents of at most TRAIN_CHARS characters). The vectors start from the log-odds
+sample of labelled documents (TRAIN_DOCS documents of at most TRAIN_CHARS characters, half of them toxic where there are enough). The vectors start from the log-odds
 of their word or n-gram between toxic and clean documents, and the windows of a toxic document that count as toxic are at
 first those with the most telling word, later those that the network finds worst. A fifth of the sample is not trained
 on: the scores are shifted so that the decision at 0.3 parts it best.
@@ -31,16 +31,24 @@ GRAMS = (3, 4, 5)
 INPUT, HIDDEN, ATTENTION = 12, 8, 8
 #: Training documents that a word or n-gram must occur in to count; rarer ones are the zero vector.
 LEAST_DOCS = 3
-#: Bounds of the training sample.
-TRAIN_DOCS, TRAIN_CHARS = 6_000, 20_000
+#: Bounds of the training sample: documents (half of them toxic where there are enough) and characters of each.
+TRAIN_DOCS, TRAIN_CHARS = 3_000, 20_000
 THRESHOLD = 0.3
 #: Training steps before and after each new choice of toxic windows.
 STEPS = (300, 250, 250)
 _PRIME = 1000003
 
 
-def features(distinct: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def features(distinct: list[bytes], chunk: int = 20_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word rows, n-gram rows laid end to end, and where each word's n-grams start (a word has at least one)."""
+    if len(distinct) <= chunk:
+        return _features(distinct)
+    parts = [_features(distinct[i : i + chunk]) for i in range(0, len(distinct), chunk)]
+    before = np.cumsum([0] + [len(grams) for _, grams, _ in parts])
+    return np.concatenate([r for r, _, _ in parts]), np.concatenate([g for _, g, _ in parts]), np.concatenate([s + b for (_, _, s), b in zip(parts, before)])
+
+
+def _features(distinct: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rows = np.fromiter((zlib.crc32(w) % WORD_ROWS for w in distinct), np.int64, len(distinct))
     size = np.fromiter((len(w) + 2 for w in distinct), np.int64, len(distinct))
     data = np.frombuffer(b"".join(b"<%b>" % w for w in distinct), np.uint8).astype(np.int64)
@@ -59,7 +67,7 @@ def features(distinct: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
             found.append(((rolling[at] * 31 + n) >> 3) % GRAM_ROWS)
     which, found = np.concatenate(which), np.concatenate(found)
     order = np.argsort(which, kind="stable")
-    return rows, found[order], np.searchsorted(which[order], np.arange(len(distinct)))
+    return rows.astype(np.int32), found[order].astype(np.int32), np.searchsorted(which[order], np.arange(len(distinct)))
 
 
 def window_index(count: int) -> np.ndarray:
@@ -183,27 +191,28 @@ def log_odds(found: tuple[np.ndarray, np.ndarray, np.ndarray], docs: list[np.nda
     return out
 
 
-def train(examples: list[tuple[bytes, int]], steps: tuple[int, ...] = STEPS, batch: int = 256, seed: int = 7) -> Network:
-    """A network from (text, label) pairs; steps before and after each new choice of toxic windows."""
+def train(examples: list[tuple[bytes, int]], steps: tuple[int, ...] = STEPS, batch: int = 256, seed: int = 7, clean_weight: float = 1.0) -> Network:
+    """A network from (text, label) pairs; steps before and after each new choice of toxic windows. clean_weight: how many
+    clean documents one of the sample stands for, against a toxic one."""
     net = Network(seed)
     labels = np.array([y for _, y in examples], np.float32)
     if len(set(labels.tolist())) < 2:
         net.constant = float(labels.mean()) if len(labels) else 0.0
         return net
     rng = np.random.default_rng(seed)
-    lists = [words(t) for t, _ in examples]
-    distinct = list(dict.fromkeys(w for x in lists for w in x)) or [b""]
-    number = {w: i for i, w in enumerate(distinct)}
+    number: dict[bytes, int] = {}
+    numbers = [np.array([number.setdefault(w, len(number)) for w in words(t)], np.int32) for t, _ in examples]
+    distinct = list(number) or [b""]
     found = features(distinct)
-    numbers = [np.array([number[w] for w in ws], np.int64) for ws in lists]
-    aside = np.arange(len(lists)) % 5 == 4
+    del number
+    aside = np.arange(len(numbers)) % 5 == 4
     if labels[aside].sum() < 5 or labels[~aside].sum() < 5:  # too few to set some aside
         aside[:] = False
     learn = np.flatnonzero(~aside)
     net.start_from(odds := log_odds(found, [numbers[i] for i in learn.tolist()], labels[learn]))
     net.known = {k: ~np.isnan(v) for k, v in odds.items()}
-    index = [np.append(own, len(distinct))[window_index(len(own))] for own in numbers]
-    doc = np.repeat(np.arange(len(lists)), [len(x) for x in index])
+    index = [np.append(own, np.int32(len(distinct)))[window_index(len(own))] for own in numbers]
+    doc = np.repeat(np.arange(len(numbers)), [len(x) for x in index])
     index = np.concatenate(index)
     real = index < len(distinct)
     real[:, 0] = True
@@ -212,7 +221,7 @@ def train(examples: list[tuple[bytes, int]], steps: tuple[int, ...] = STEPS, bat
     opt = gru.Adagrad(net.p, 0.05)
     scores = np.append(net.vectors(found)[:, 0], -9.0)[index].max(axis=1)
     for count in steps:
-        worst = np.full(len(lists), -np.inf, np.float32)
+        worst = np.full(len(numbers), -np.inf, np.float32)
         np.maximum.at(worst, doc, scores)
         chosen = np.flatnonzero(toxic & own & ((scores >= worst[doc]) | (scores > max(0.0, np.quantile(scores[clean], 0.999)))))
         hard = clean[np.argsort(-scores[clean])[: max(batch, len(clean) // 20)]]
@@ -224,18 +233,18 @@ def train(examples: list[tuple[bytes, int]], steps: tuple[int, ...] = STEPS, bat
             local = np.minimum(local.reshape(len(pick), WINDOW), len(vec) - 1)
             net.step(opt, some, vec, local, real[pick], toxic[pick].astype(np.float32))
         scores = net.logits(net.projected(distinct), index, real)
-    worst = np.full(len(lists), -np.inf, np.float32)
+    worst = np.full(len(numbers), -np.inf, np.float32)
     np.maximum.at(worst, doc, scores)
-    judged = aside if aside.any() else np.ones(len(lists), bool)
-    net.shift = float(np.log(THRESHOLD / (1 - THRESHOLD)) - best_cut(worst[judged], labels[judged]))
+    judged = aside if aside.any() else np.ones(len(numbers), bool)
+    net.shift = float(np.log(THRESHOLD / (1 - THRESHOLD)) - best_cut(worst[judged], labels[judged], clean_weight))
     return net
 
 
-def best_cut(score: np.ndarray, label: np.ndarray) -> float:
+def best_cut(score: np.ndarray, label: np.ndarray, clean_weight: float = 1.0) -> float:
     """Cut with the best F1 over score >= cut: half way between the two scores around it."""
     order = np.argsort(-score, kind="stable")
     s, hit = score[order], np.cumsum(label[order])
-    f1 = 2 * hit / (np.arange(1, len(s) + 1) + label.sum())
+    f1 = 2 * hit / (hit + clean_weight * np.cumsum(1 - label[order]) + label.sum())
     f1[:-1][s[:-1] == s[1:]] = -1
     k = int(np.argmax(f1))
     return float((s[k] + s[k + 1]) / 2) if k + 1 < len(s) else float(s[k])
@@ -266,13 +275,22 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 
 
 def fitted(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", limit: int = TRAIN_DOCS, longest: int = TRAIN_CHARS, steps: tuple[int, ...] = STEPS) -> Network:
-    """Network from a bounded sample of the labelled rows that are not held out: those with the smallest hashes of the id."""
+    """Network from a bounded sample of the labelled rows that are not held out: of each label those with the smallest
+    hashes of the id, as many of both where there are enough."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull() & ~held_out() & (F.length("text") <= longest))
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull())
-    sample = rows.select("doc_id").join(marks, "doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(limit)
+    known = rows.select("doc_id").join(marks, "doc_id").distinct()
+    every = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    few = min([limit // 2, *every.values()]) if len(every) == 2 else limit
+    parts = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit - few if n > few else few) for y, n in sorted(every.items())]
+    if not parts:
+        return train([])
+    sample = parts[0].union(parts[1]) if len(parts) == 2 else parts[0]
     found = rows.join(F.broadcast(sample), "doc_id").select("doc_id", "y", F.col("text").cast("binary").alias("t"))  # the sample has `limit` rows at most
     got = sorted(((r["doc_id"], bytes(r["t"]), r["y"]) for r in found.limit(2 * limit).collect()), key=lambda r: (zlib.crc32(str(r[0]).encode()), r))
-    return train([(t, y) for _, t, y in got], steps)
+    toxic = sum(y for _, _, y in got)
+    weight = (every.get(0, 0) / max(1, every.get(1, 0))) / ((len(got) - toxic) / max(1, toxic)) if 0 < toxic < len(got) else 1.0
+    return train([(t, y) for _, t, y in got], steps, clean_weight=weight)
 
 
 def _scorer(spark: SparkSession, net: Network):

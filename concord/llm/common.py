@@ -100,9 +100,9 @@ def spans_text(spans: Sequence[tuple[int, str, int]]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, kind, end in spans)
 
 
-def boxed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, doc_id, text): the whole row out of the way of clashing names, and what an operator reads of it."""
-    return docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def boxed(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(row, text): the whole row out of the way of clashing names, and the text that an operator reads of it."""
+    return docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
 def unboxed(df: DataFrame, names: Sequence[str], **changed) -> DataFrame:

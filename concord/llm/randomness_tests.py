@@ -211,7 +211,7 @@ def secret_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 def redacted(docs: DataFrame, *, text_col: str = "text", count_col: str | None = "n_chars", mask: str = "[secret]", false_share: float = FALSE_SHARE) -> DataFrame:
     """docs with every secret span of the text replaced by `mask` (touching or overlapping spans by one), and the count of
     characters with it; rows without secrets stay as they are."""
-    found = secrets(boxed(docs, docs.columns[0], text_col).select("row", "text"), false_share=false_share)
+    found = secrets(boxed(docs, text_col), false_share=false_share)
     text = F.col("text")
 
     def step(acc, s):

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm.common import id_and_text, map_text, staged, table, tokens
+from concord.llm.common import boxed, id_and_text, map_text, staged, table, tokens, unboxed
 
 SEED = 42
 #: Bit blocks (first bit, width) of a fingerprint; three differing bits leave two of five untouched.
@@ -275,11 +275,11 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     """docs without the near copies: of each component the row with the smallest id stays (rows with an id before rows
     without; of several such rows any one)."""
     names = docs.columns
-    marked = map_text(docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), lambda texts: fingerprint_slice(texts, shingle), "fp long")
+    marked = map_text(boxed(docs, text_col).withColumn("doc_id", F.col("row").getField(id_col).cast("long")), lambda texts: fingerprint_slice(texts, shingle), "fp long")
     slim = staged(marked.select("doc_id", "fp"))
     found = near_duplicates(slim, radius)
     best = marked.join(found, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return best.groupBy("root").agg(F.first("row").alias("row")).select(*[F.col("row").getField(n).alias(n) for n in names])
+    return unboxed(best.groupBy("root").agg(F.first("row").alias("row")), names)
 
 
 def op10_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -223,7 +223,7 @@ def contamination(rows: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", **how) -> DataFrame:
     """docs without the documents that hold a benchmark window."""
-    found = contamination(boxed(docs, docs.columns[0], text_col).select("row", "text"), benchmark, **how)
+    found = contamination(boxed(docs, text_col), benchmark, **how)
     return unboxed(found.where(F.col("n_hit") == 0), docs.columns)
 
 

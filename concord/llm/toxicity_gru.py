@@ -308,7 +308,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
 def without_toxic(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs without the documents scored at THRESHOLD or more."""
     net = fitted(docs, labels, id_col=id_col, text_col=text_col, **how)
-    scored = map_text(boxed(docs, id_col, text_col).select("row", "text"), _scorer(docs.sparkSession, net), "score double")
+    scored = map_text(boxed(docs, text_col), _scorer(docs.sparkSession, net), "score double")
     return unboxed(scored.where(F.col("score") < THRESHOLD), docs.columns)
 
 

@@ -197,8 +197,8 @@ def reconcile(
     def why(s: str, name: str) -> Column:
         return first_of(
             [
-                (F.col(s).isNull(), F.lit(f"{name}: field not found")),
-                (F.col(f"{s}.blank"), F.concat(F.lit(f"{name}: value is blank/placeholder (“"), F.coalesce(F.col(f"{s}.raw"), F.lit("")), F.lit("”)"))),
+                (F.col(s).isNull(), F.lit(f"{name} has no such line")),
+                (F.col(f"{s}.blank"), F.concat(F.lit(f"{name} leaves it open (“"), F.coalesce(F.col(f"{s}.raw"), F.lit("")), F.lit("”)"))),
             ]
         )
 
@@ -338,7 +338,7 @@ def apply_verdicts(cases: DataFrame, overrides: DataFrame) -> DataFrame:
     resolved = F.col("_judged") | F.col("_agreed") | (F.coalesce("was_resolved", F.lit(False)) & ~F.col("needs_human"))
     second_look = asked & ~F.col("_judged") & ~F.col("_agreed") & F.col("status").isin("OK", "MISMATCH")
     if "review_detail" in df.columns:
-        note = F.concat(F.lit("Sent to review by "), F.col("review_requested_by"), F.lit(": second opinion requested"))
+        note = F.concat(F.col("review_requested_by"), F.lit(" asked for another look"))
         df = df.withColumn("review_detail", F.when(second_look, note).otherwise(F.col("review_detail")))
     return df.withColumn("resolved", resolved).drop("_decided", "_judged", "_agreed", *[c for c in overrides.columns if c != "case_id"])
 
@@ -374,7 +374,7 @@ def close_non_checks(cases: DataFrame, classify_below: float = specs.CLASSIFY_RE
         F.lit("OK").alias("status"),
         F.col("category_confidence").alias("confidence"),
         weak.alias("needs_human"),
-        F.when(weak, F.lit("low classification confidence")).alias("review_detail"),
+        F.when(weak, F.lit("kind of message is not certain")).alias("review_detail"),
     )
 
 

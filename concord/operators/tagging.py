@@ -125,8 +125,3 @@ def default_rules() -> list[Rule]:
         Rule(1, "Needs amendment", (Condition("status", "is", "MISMATCH"),)),
         Rule(2, "External sender", (Condition("sender_domain", "regex", r"^(?!.*april).*$"), Condition("category", "is_not", "SPAM"))),
     ]
-
-
-# carrier -> (owner, backup) of a new installation, by position in the team list; priority 0
-DEFAULT_ROUTES = {"MSC": (1, 2), "OOCL": (1, 3), "Evergreen": (2, 1), "Yang Ming": (2, 3), "CMA CGM": (3, 1),
-                  "ONE": (3, 2), "Hapag-Lloyd": (1, 2), "Monter": (2, 1), "PIL": (3, 2), "Maersk": (3, 1)}

@@ -65,7 +65,7 @@ def _users(spark: SparkSession) -> DataFrame:
 
 
 def _routes(spark: SparkSession) -> DataFrame:
-    rows = [(i + 1, carrier, u + 1, k + 1, 1 if carrier == "PIL" else 0) for i, (carrier, (u, k)) in enumerate(G.DEFAULT_ROUTES.items())]
+    rows = [(i + 1, carrier, u + 1, k + 1, 1 if carrier == "PIL" else 0) for i, (carrier, (u, k)) in enumerate(specs.DEFAULT_ROUTES.items())]
     return B.inline_table(spark, rows, "route_id int, name string, user_id int, backup_user_id int, priority int")
 
 

@@ -138,7 +138,7 @@ O["reviewed_verdicts"] = _with(b.CASES, """, ov AS (
   hu AS (SELECT *, CASE WHEN agreed OR decided THEN false WHEN confidence < 0.8 AND NOT judged THEN true ELSE needs_human END AS h2 FROM ag)
   SELECT case_id, s2 AS status, d2 AS defect_fields, r2 AS review_reason, CASE WHEN decided THEN status END AS ai_status, h2 AS needs_human, (judged OR agreed OR (starred AND NOT h2)) AS resolved FROM hu""")
 O["closed_non_checks"] = _with(b.CASES, """SELECT case_id, category, 'OK' AS status, CASE WHEN starred THEN 0.5 ELSE 0.9 END::DOUBLE AS confidence, starred AS needs_human,
-  CASE WHEN starred THEN 'low classification confidence' END AS review_detail FROM board WHERE category IS NOT NULL AND category <> 'BL_COMPARISON'""")
+  CASE WHEN starred THEN 'kind of message is not certain' END AS review_detail FROM board WHERE category IS NOT NULL AND category <> 'BL_COMPARISON'""")
 O["isolated_errors"] = """WITH e AS (SELECT event_type, TRY_CAST(json_extract_string(props, '$.k') AS TINYINT) IS NULL AS bad1, value > 100 AS bad2 FROM events)
   SELECT event_type, CASE WHEN bad1 OR bad2 THEN 'FAILED' ELSE 'OK' END AS status, CASE WHEN bad1 THEN '[read] value could not be read' WHEN bad2 THEN '[parse] value could not be read' END AS error, count(*) AS n FROM e GROUP BY 1, 2, 3"""
 

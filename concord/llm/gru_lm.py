@@ -5,7 +5,8 @@ ranking), all others fall into classes by the end of the word. The network reads
 probability of the class, then of the word within it: by a softmax for the frequent classes, by the corpus counts plus one
 for the others, so that every token has a probability and those of a state sum to at most one.
 
-Training is numpy by truncated backpropagation over windows of STEPS tokens, over every training document: each partition
+Training is numpy by truncated backpropagation over windows of STEPS tokens, over segments of every training document (every
+TRAIN_EVERY-th segment of SEGMENT tokens, the first included, whatever the size of the table): each partition
 starts from the same parameters and trains on its own documents, and Spark averages the parameters, weighted by tokens;
 once over a share of the documents, then over all. Scoring carries the state across the windows of a document to its end.
 Counts of tokens outside the KNOWN most frequent ones come by a join on the token, so nothing that grows with the
@@ -37,11 +38,13 @@ END = b"\n"  # cannot be a token
 HEAD, CLASS_WORDS, TAIL_CLASSES, TAIL_ROWS = 1024, 32, 16, 512
 CLASSES = HEAD // CLASS_WORDS + TAIL_CLASSES
 #: Most frequent tokens whose counts every task holds.
-KNOWN = 1 << 17
+KNOWN = 1 << 16
 HIDDEN, STEPS, STREAMS, SEGMENT = 16, 32, 256, 256
 #: (share of the training documents as 1 / n, learning rate) of each training round.
 ROUNDS = ((8, 0.1), (1, 0.1))
-LM_SLICE = 16 << 20
+LM_SLICE = 6 << 20
+#: Of the segments of a training document every n-th, from the first, is trained on; counts cover all of every document.
+TRAIN_EVERY = 2
 _START = HEAD + TAIL_ROWS  # row of the state before the first token
 #: Distinct tokens a counting task holds before it hands them on.
 COUNT_FLUSH = 500_000
@@ -92,8 +95,8 @@ class Lexicon:
         words = [(END, ends["c"] if ends else 0), *ranked]
         self.code = {w: i for i, (w, _) in enumerate(words)}
         self.count = np.array([c for _, c in words], np.int64)
-        self.tail = np.array([tail_class(w) for w, _ in words], np.int64)
-        self.row = np.array([i if i < HEAD else HEAD + zlib.crc32(w) % TAIL_ROWS for i, (w, _) in enumerate(words)], np.int64)
+        self.tail = np.array([tail_class(w) for w, _ in words], np.int32)
+        self.row = np.array([i if i < HEAD else HEAD + zlib.crc32(w) % TAIL_ROWS for i, (w, _) in enumerate(words)], np.int32)
         self.heads = min(HEAD, len(words))
         mass = np.zeros(TAIL_CLASSES, np.int64)
         for r in counts.groupBy("tail").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).collect():
@@ -105,11 +108,11 @@ class Lexicon:
         """Arrays over all tokens (end tokens included) of several texts, laid end to end."""
         sizes = np.fromiter((len(x) + 1 for x in lists), np.int64, len(lists))
         flat = [w for x in lists for w in (*x, END)]
-        code = np.fromiter(map(self.code.get, flat, repeat(-1)), np.int64, len(flat))
+        code = np.fromiter(map(self.code.get, flat, repeat(-1)), np.int32, len(flat))
         new = np.flatnonzero(code < 0)
         rest = [flat[i] for i in new.tolist()]
         number = {w: i for i, w in enumerate(dict.fromkeys(rest))}
-        own = np.fromiter(map(number.__getitem__, rest), np.int64, len(rest))
+        own = np.fromiter(map(number.__getitem__, rest), np.int32, len(rest))
         tail, row = self.tail[code], self.row[code]
         if len(rest):
             tail[new] = np.fromiter(map(tail_class, number), np.int64, len(number))[own]
@@ -239,10 +242,10 @@ def inputs(row: np.ndarray, at: np.ndarray, starts: np.ndarray, first: int) -> n
 
 
 def train_on(model: Model, lexicon: Lexicon, opt: gru.Adagrad, lists: list[list[bytes]]) -> int:
-    """Updates from the texts of a slice: segments of at most SEGMENT tokens, STREAMS at a time; returns the tokens seen."""
+    """Updates from the texts of a slice: segments of at most SEGMENT tokens, STREAMS at a time; returns the tokens trained on."""
     got = lexicon.read(lists)
     begin = np.cumsum(got["sizes"]) - got["sizes"]
-    cuts = [(s + k, min(SEGMENT, n - k)) for s, n in zip(begin.tolist(), got["sizes"].tolist()) for k in range(0, n, SEGMENT)]
+    cuts = [(s + k, min(SEGMENT, n - k)) for s, n in zip(begin.tolist(), got["sizes"].tolist()) for k in range(0, n, SEGMENT * TRAIN_EVERY)]
     order = sorted(range(len(cuts)), key=lambda i: -cuts[i][1])
     groups = [order[i : i + STREAMS] for i in range(0, len(order), STREAMS)]
     np.random.default_rng(len(cuts)).shuffle(groups)
@@ -252,7 +255,7 @@ def train_on(model: Model, lexicon: Lexicon, opt: gru.Adagrad, lists: list[list[
         for at, real, first in windows(sizes, starts):
             row = inputs(got["row"], at, starts, first)
             h = model.step(opt, row, got["target"][at], got["class"][at], real, h[: at.shape[1]])
-    return int(got["sizes"].sum())
+    return sum(n for _, n in cuts)
 
 
 def trained(docs: DataFrame, lexicon: Lexicon, rounds: tuple[tuple[int, float], ...] = ROUNDS) -> Model:
@@ -292,7 +295,7 @@ def score_lists(model: Model, lexicon: Lexicon, lists: list[list[bytes]]) -> dic
     got = lexicon.read(lists)
     sizes = got["sizes"]
     begin = np.cumsum(sizes) - sizes
-    doc = np.repeat(np.arange(len(sizes)), sizes)
+    doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     known = got["code"] >= 0
     count = np.where(known, lexicon.count[got["code"]], 0)
     log = np.log10(count + 1.0)

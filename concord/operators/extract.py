@@ -175,7 +175,9 @@ def split_rows(doc_rows: DataFrame, knowledge: DataFrame | None = None) -> DataF
     direct = F.col("_c.field").isNotNull() | F.col("_t.field").isNotNull()
     glued = first_of([(matches(F.col("text"), _glued_pattern(words)), F.lit(field)) for field, words in specs.GLUED_LABELS])
     df = df.withColumn("_start", normalise_label(F.left("text", F.lit(40))))
-    df = df.withColumn("_g", F.when(~direct & ~F.col("_start").rlike(specs.NOT_A_FIELD), glued))
+    # most rows start with no label at all: one pattern of all of them goes before the single ones
+    some = matches(F.col("text"), _glued_pattern("|".join(words for _, words in specs.GLUED_LABELS)))
+    df = df.withColumn("_g", F.when(~direct & some & ~F.col("_start").rlike(specs.NOT_A_FIELD), glued))
     # the parts of a glued row are cut by the pattern of the field it was recognised as
     parts = [first_of([(F.col("_g") == field, F.regexp_extract("text", NOCASE + _glued_pattern(words), i)) for field, words in specs.GLUED_LABELS]) for i in (1, 2, 3)]
     df = df.withColumn("_g1", parts[0]).withColumn("_g2", parts[1]).withColumn("_g3", parts[2])

@@ -5,10 +5,10 @@ ranking), all others fall into classes by the end of the word. The network reads
 probability of the class, then of the word within it: by a softmax for the frequent classes, by the corpus counts plus one
 for the others, so that every token has a probability and those of a state sum to at most one.
 
-Training is numpy by truncated backpropagation over windows of STEPS tokens, over segments of every training document (every
-TRAIN_EVERY-th segment of SEGMENT tokens, the first included, whatever the size of the table): each partition
-starts from the same parameters and trains on its own documents, and Spark averages the parameters, weighted by tokens;
-once over a share of the documents, then over all. Scoring carries the state across the windows of a document to its end.
+Training is numpy by truncated backpropagation over windows of STEPS tokens, over every token of every training document:
+each partition starts from the same parameters and trains on its own documents, and Spark averages the parameters, weighted
+by tokens; once over a share of the documents, then over all. Training and scoring carry the state across the windows of a
+document to its end; only its first token is read after the start row and a zero state.
 Counts of tokens outside the KNOWN most frequent ones come by a join on the token, so nothing that grows with the
 vocabulary is collected or broadcast.
 
@@ -19,6 +19,7 @@ empty result.
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -39,12 +40,10 @@ HEAD, CLASS_WORDS, TAIL_CLASSES, TAIL_ROWS = 1024, 32, 16, 512
 CLASSES = HEAD // CLASS_WORDS + TAIL_CLASSES
 #: Most frequent tokens whose counts every task holds.
 KNOWN = 1 << 16
-HIDDEN, STEPS, STREAMS, SEGMENT = 16, 32, 256, 256
+HIDDEN, STEPS, STREAMS = 16, 32, 256
 #: (share of the training documents as 1 / n, learning rate) of each training round.
 ROUNDS = ((8, 0.1), (1, 0.1))
 LM_SLICE = 6 << 20
-#: Of the segments of a training document every n-th, from the first, is trained on; counts cover all of every document.
-TRAIN_EVERY = 2
 _START = HEAD + TAIL_ROWS  # row of the state before the first token
 #: Distinct tokens a counting task holds before it hands them on.
 COUNT_FLUSH = 500_000
@@ -241,21 +240,45 @@ def inputs(row: np.ndarray, at: np.ndarray, starts: np.ndarray, first: int) -> n
     return before
 
 
+def lanes(sizes: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places, real, new) of texts laid end to end in at most STREAMS lanes of about equal length: places (steps, lanes still
+    going) into the tokens, and which lanes are at the first window of a text. No lane is cut, so the longest text sets their
+    length, and there are as many as that length needs."""
+    parts = -(-sizes // STEPS)
+    count = max(1, min(STREAMS, -(-int(parts.sum()) // int(parts.max(initial=1)))))
+    rng = np.random.default_rng(len(sizes))
+    heap, own = [(0, k) for k in range(count)], [[] for _ in range(count)]
+    for i in np.argsort(-parts, kind="stable").tolist():
+        length, k = heap[0]
+        heapq.heapreplace(heap, (length + int(parts[i]), k))
+        own[k].append(i)
+    filled = [own[k] for _, k in sorted(heap, reverse=True) if own[k]]
+    texts = [rng.permutation(x) for x in filled]
+    part = [np.concatenate([np.arange(n) for n in parts[x]]) for x in texts]
+    first = [np.repeat(starts[x], parts[x]) + STEPS * k for x, k in zip(texts, part)]
+    left = [np.repeat(sizes[x], parts[x]) - STEPS * k for x, k in zip(texts, part)]
+    going = len(texts)
+    step = np.arange(STEPS)[:, None]
+    for t in range(len(part[0]) if part else 0):
+        while len(part[going - 1]) <= t:
+            going -= 1
+        real = step < np.array([x[t] for x in left[:going]])
+        yield np.where(real, np.array([x[t] for x in first[:going]]) + step, 0), real, np.array([x[t] for x in part[:going]]) == 0
+
+
 def train_on(model: Model, lexicon: Lexicon, opt: gru.Adagrad, lists: list[list[bytes]]) -> int:
-    """Updates from the texts of a slice: segments of at most SEGMENT tokens, STREAMS at a time; returns the tokens trained on."""
+    """Updates from the whole texts of a slice; returns the tokens trained on."""
     got = lexicon.read(lists)
     begin = np.cumsum(got["sizes"]) - got["sizes"]
-    cuts = [(s + k, min(SEGMENT, n - k)) for s, n in zip(begin.tolist(), got["sizes"].tolist()) for k in range(0, n, SEGMENT * TRAIN_EVERY)]
-    order = sorted(range(len(cuts)), key=lambda i: -cuts[i][1])
-    groups = [order[i : i + STREAMS] for i in range(0, len(order), STREAMS)]
-    np.random.default_rng(len(cuts)).shuffle(groups)
-    for group in groups:
-        starts, sizes = np.array([cuts[i] for i in group], np.int64).T
-        h = np.zeros((len(group), HIDDEN), np.float32)
-        for at, real, first in windows(sizes, starts):
-            row = inputs(got["row"], at, starts, first)
-            h = model.step(opt, row, got["target"][at], got["class"][at], real, h[: at.shape[1]])
-    return sum(n for _, n in cuts)
+    h, total = np.zeros((STREAMS, HIDDEN), np.float32), 0
+    for at, real, new in lanes(got["sizes"], begin):
+        row = got["row"][np.maximum(at - 1, 0)]
+        row[0, new] = _START
+        h = h[: at.shape[1]]
+        h[new] = 0
+        h = model.step(opt, row, got["target"][at], got["class"][at], real, h).copy()
+        total += int(real.sum())
+    return total
 
 
 def trained(docs: DataFrame, lexicon: Lexicon, rounds: tuple[tuple[int, float], ...] = ROUNDS) -> Model:

@@ -8,7 +8,7 @@ import pytest
 
 from concord.llm import gru, gru_lm
 from concord.llm.common import id_and_text
-from concord.llm.gru_lm import CLASS_WORDS, HEAD, HIDDEN, Lexicon, Model, inputs, lm_scores, op8_gru_language_model, score_lists, token_counts, windows
+from concord.llm.gru_lm import CLASS_WORDS, HEAD, HIDDEN, Lexicon, Model, inputs, lm_scores, op8_gru_language_model, score_lists, token_counts, train_on, windows
 
 FEW = ((1, 0.1),)
 
@@ -123,3 +123,40 @@ def test_gradients(spark):
             sides.append(loss())
         model.p[name][place] = old
         assert abs((sides[0] - sides[1]) / 0.02 / math.sqrt(len(own)) - keep.g[name][place]) < 5e-3, name
+
+
+def test_every_token_is_trained_on_after_its_own_past(spark):
+    texts = [[f"t{d}n{k}".encode() for k in range(n)] for d, n in enumerate((900, 1, 40, 256, 0, 513, 31, 32))]
+    lexicon = lexicon_of(spark, [" ".join(w.decode() for w in t) for t in texts])
+    got, pairs = lexicon.read(texts), Counter()
+
+    class Seen:
+        def step(self, opt, row, target, cls, real, h):
+            for lane in range(row.shape[1]):
+                n = int(real[:, lane].sum())
+                # the state tells which token came last, zero at the start of a text
+                before = int(h[lane, 0]) - 1
+                for k in range(n):
+                    assert row[k, lane] == (gru_lm._START if before < 0 else before)
+                    before = int(target[k, lane])
+                    pairs[before] += 1
+                h[lane, 0] = before + 1
+            return h
+
+    assert len(lexicon.code) > lexicon.heads
+    lexicon.heads = len(lexicon.code)  # targets name every token
+    lexicon.row = np.arange(len(lexicon.code))
+    n = train_on(Seen(), lexicon, None, texts)
+    assert n == got["sizes"].sum() == sum(len(t) + 1 for t in texts)
+    assert pairs == Counter(lexicon.code[w] for t in texts for w in (*t, b"\n"))
+
+
+def test_training_reaches_the_late_words_of_a_text(spark):
+    words = [f"s{k}" for k in range(4) for _ in range(256)]
+    lexicon = lexicon_of(spark, [" ".join(words)])
+    model = Model(lexicon.heads)
+    before = model.p["emb"].copy()
+    assert train_on(model, lexicon, gru.Adagrad(model.p, 0.1), [[w.encode() for w in words]]) == len(words) + 1
+    for k in range(4):
+        row = lexicon.row[lexicon.code[f"s{k}".encode()]]
+        assert (model.p["emb"][row] != before[row]).any(), k

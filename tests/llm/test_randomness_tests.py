@@ -132,3 +132,26 @@ def test_redaction(docs_of):
 def test_no_python_in_the_plan(spark, sf):
     plan = op6_randomness_battery(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_each_form_of_random_key_is_found_at_its_place(docs_of):
+    rng = random.Random(5)
+    draw = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    low32, low36, b62 = string.ascii_lowercase + "234567", string.ascii_lowercase + string.digits, string.ascii_letters + string.digits
+    hexs = "0123456789abcdef"
+    uuid = lambda chars: "-".join(draw(chars, n) for n in (8, 4, 4, 4, 12))
+    forms = [
+        lambda: ("", draw(low32, 32)), lambda: ("", draw(low36, 40)), lambda: ("", draw(low36, 64)), lambda: ("", uuid(hexs)), lambda: ("", uuid(hexs.upper())),
+        lambda: ("settings_of_the_service=", draw(b62, 40)), lambda: ("sk_live_", draw(b62, 48)), lambda: ("archive/of/the/older/", draw(low36, 40)), lambda: ("value-of-the-other-", draw(b62, 40)),
+    ]
+    pairs, keys = [], {}
+    for k, form in enumerate(forms):
+        for i in range(60):
+            before, key = form()
+            pairs.append((100 * k + i, f"see {before}{key} end"))
+            keys[100 * k + i] = (4 + len(before), 4 + len(before) + len(key))
+    pairs += [(5000 + i, "a/path_of-ordinary/words_in-the/text and donaudampfschiffahrtsgesellschaft") for i in range(60)]
+    got = {r["doc_id"]: [tuple(map(int, x.split(":")[1:])) for x in r["spans"].split(",") if x.startswith("random")] for r in secret_scan(docs_of(pairs)).collect()}
+    for k in range(len(forms)):
+        assert sum(keys[100 * k + i] in got[100 * k + i] or any(s <= keys[100 * k + i][0] and e == keys[100 * k + i][1] for s, e in got[100 * k + i]) for i in range(60)) > 30, k
+    assert not any(got[5000 + i] for i in range(60))

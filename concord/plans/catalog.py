@@ -16,6 +16,7 @@ from concord.operators import cases as Q
 from concord.operators import classify as K
 from concord.operators import evaluate as V
 from concord.operators import extract as E
+from concord.operators import hints as H
 from concord.operators import knowledge as B
 from concord.operators import learning as L
 from concord.operators import pairing as P
@@ -285,6 +286,30 @@ def hint_scores(spark, sf):
     return K.score_hints(T.clean_body(_mail(spark, sf)), HINTS).select("case_id", F.explode_outer("hint_scores").alias("category", "score"))
 
 
+def _classified_with(spark: SparkSession, sf: str, hints: DataFrame) -> DataFrame:
+    kinds = checks.prepare_documents(_docs(spark, sf)).select("case_id", "type")
+    return K.classify(T.clean_body(_mail(spark, sf)), kinds, hints).select("case_id", "category", "category_confidence")
+
+
+@query
+def hinted_messages(spark, sf):
+    """K3 as a table: one hint for each urgent order, found by its reference, beside a few without a required literal."""
+    urgent = b.messages(spark, sf).where("k % 3 = 0")
+    own = urgent.select(F.col("k").alias("hint_id"), F.concat(F.lit(r"\s+"), F.lower("bl_no"), F.lit(r"\s+and\s+confirm")).alias("pattern"), F.lit("URGENT").alias("category"), F.lit(9.0).alias("weight"))
+    few = [(-3, "gift|prize", "SPAM", 1.5), (-2, r"docs?\b", "GENERAL", 0.25), (-1, "automat", "NOTICE", 6.5)]
+    return _classified_with(spark, sf, own.unionByName(B.inline_table(spark, few, "hint_id long, pattern string, category string, weight double")))
+
+
+@query
+def learned_hints(spark, sf):
+    """Categories people corrected are mined, approved where two or more cases say so, and change the next classification."""
+    mined = L.mine_hints(b.corrections(spark, sf)).groupBy("kind", "key", "value").agg(F.sum("evidence_count").alias("n"))
+    suggestions = mined.select(F.crc32(F.concat_ws("|", "key", "value")).alias("suggestion_id"), "kind", "key", "value", F.lit("pending").alias("status"), "n")
+    decisions = suggestions.select("suggestion_id", (F.col("n") >= 2).alias("approve"), F.lit("reviewer").alias("user"), F.lit("2024-02-01").cast("timestamp").alias("at"))
+    _, knowledge, _ = L.apply_decisions(suggestions.drop("n"), decisions, B.seed_knowledge(spark))
+    return _classified_with(spark, sf, H.active_hints(knowledge))
+
+
 @query
 def cue_evidence(spark, sf):
     e = K.classification_evidence(T.clean_body(_mail(spark, sf)))

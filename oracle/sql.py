@@ -237,12 +237,26 @@ _SIGNALS = """, sig AS (SELECT case_id, CASE WHEN kind = 'spam' THEN 1.5 ELSE 0.
   signals AS (SELECT case_id, 'SPAM' AS category, spam AS score FROM sig UNION ALL SELECT case_id, 'BL_COMPARISON', CASE WHEN bl THEN 2.5 WHEN si THEN 0.8 ELSE 0.0 END FROM sig
     UNION ALL SELECT case_id, 'SI_REQUEST', CASE WHEN si AND NOT bl THEN 0.8 ELSE 0.0 END FROM sig)"""
 O["signal_scores"] = _with(b.MESSAGES, _SIGNALS + " SELECT case_id, category, CAST(score AS DOUBLE) AS score FROM signals")
-_CAT_ORDER = "CASE category WHEN 'BL_COMPARISON' THEN 0 WHEN 'SI_REQUEST' THEN 1 WHEN 'INVOICE_QUERY' THEN 2 WHEN 'GENERAL' THEN 3 ELSE 4 END"
-O["classified_messages"] = _with(b.MESSAGES, _SCORED + _SIGNALS + f""", every AS (SELECT case_id, category, round(sum(score), 6) AS score FROM (SELECT * FROM scored UNION ALL SELECT * FROM signals) AS u GROUP BY 1, 2),
+_CAT_ORDER = "CASE category WHEN 'BL_COMPARISON' THEN 0 WHEN 'SI_REQUEST' THEN 1 WHEN 'INVOICE_QUERY' THEN 2 WHEN 'GENERAL' THEN 3 WHEN 'SPAM' THEN 4 ELSE 5 END"
+
+
+def _picked(more: str) -> str:
+    """The best category of all scores; `more` adds rows (case_id, category, score) of hints."""
+    return f""", every AS (SELECT case_id, category, round(sum(score), 6) AS score FROM (SELECT * FROM scored UNION ALL SELECT * FROM signals{more}) AS u GROUP BY 1, 2),
   ranked AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, {_CAT_ORDER}) AS rn, sum(score) OVER (PARTITION BY case_id) AS total FROM every),
   tops AS (SELECT case_id, max(category) FILTER (WHERE rn = 1) AS category, max(score) FILTER (WHERE rn = 1) AS s1, max(score) FILTER (WHERE rn = 2) AS s2, max(total) AS total FROM ranked GROUP BY 1)
   SELECT case_id, CASE WHEN total <= 0 THEN 'GENERAL' ELSE category END AS category, CAST(CASE WHEN total <= 0 THEN 0.35 ELSE
-    round(greatest(0.05, least(0.99, (0.5 * s1 / total + 0.5 * (s1 - s2) / s1) * (0.6 + 0.4 * least(1.0, s1 / 3.0)))), 3) END AS DOUBLE) AS category_confidence FROM tops""")
+    round(greatest(0.05, least(0.99, (0.5 * s1 / total + 0.5 * (s1 - s2) / s1) * (0.6 + 0.4 * least(1.0, s1 / 3.0)))), 3) END AS DOUBLE) AS category_confidence FROM tops"""
+
+
+O["classified_messages"] = _with(b.MESSAGES, _SCORED + _SIGNALS + _picked(""))
+_TEXT = "lower(concat(said, chr(10), subject))"
+O["hinted_messages"] = _with(b.MESSAGES, _SCORED + _SIGNALS + f""", hinted AS (SELECT case_id, unnest(['URGENT', 'SPAM', 'GENERAL', 'NOTICE']) AS category, unnest([
+    CASE WHEN k % 3 = 0 AND regexp_matches({_TEXT}, concat('\\s+', lower(bl_no), '\\s+and\\s+confirm')) THEN 9.0 ELSE 0.0 END, CASE WHEN regexp_matches({_TEXT}, 'gift|prize') THEN 1.5 ELSE 0.0 END,
+    CASE WHEN regexp_matches({_TEXT}, 'docs?\\b') THEN 0.25 ELSE 0.0 END, CASE WHEN contains({_TEXT}, 'automat') THEN 6.5 ELSE 0.0 END]) AS score FROM messages)""" + _picked(" UNION ALL SELECT * FROM hinted"))
+O["learned_hints"] = _with(b.CORRECTIONS, _SCORED + _SIGNALS + """, proposed AS (SELECT array_to_string(regexp_extract_all(message, '[A-Za-z]{3,}')[1:5], '\\s+') AS key FROM corrections WHERE kind = 'category'),
+  approved AS (SELECT key FROM proposed WHERE key <> '' GROUP BY key HAVING count(*) >= 2),
+  hinted AS (SELECT m.case_id, 'GENERAL' AS category, 4.0 AS score FROM messages m JOIN approved a ON regexp_matches(concat(m.said, chr(10), m.subject), concat('(?i)', a.key)))""" + _picked(" UNION ALL SELECT * FROM hinted"))
 O["hint_scores"] = _with(b.MESSAGES, """ SELECT case_id, unnest(['INVOICE_QUERY', 'NOTICE', 'GENERAL']) AS category, CAST(unnest([CASE WHEN kind = 'invoice' THEN 4.0 ELSE 0.0 END, CASE WHEN kind = 'notice' THEN 2.0 ELSE 0.0 END,
   CASE WHEN contains(lower(subject), 'shipment 5rmy-000') THEN 0.5 ELSE 0.0 END]) AS DOUBLE) AS score FROM messages""")
 O["category_overrides"] = _with(b.CORRECTIONS + ", " + b.CASES[len(b.MESSAGES):].lstrip(", ").lstrip(), """, ov AS (SELECT DISTINCT case_id FROM corrections WHERE kind = 'category')

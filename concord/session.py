@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,8 +35,13 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A folder every executor can see: under spark.checkpoint.dir, or under the session's warehouse where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_shared")
+    """A folder every executor can see: under spark.checkpoint.dir; where that is unset, on one machine, under the
+    session's warehouse (tests). Several machines without the setting are an error, as their local folders differ."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_shared")
     return os.path.join(root, name)
 
 

@@ -16,7 +16,8 @@ MESSAGE_GLOB = "inbox/email_*.json"
 
 
 def _named(raw: DataFrame) -> DataFrame:
-    return raw.select(F.col("email_id").alias("case_id"), F.col("from").alias("sender"), "subject", "body", F.coalesce("attachments", F.array().cast("array<string>")).alias("attachments"))
+    more = [c for c in ("arrived_at",) if c in raw.columns]
+    return raw.select(F.col("email_id").alias("case_id"), F.col("from").alias("sender"), "subject", "body", F.coalesce("attachments", F.array().cast("array<string>")).alias("attachments"), *more)
 
 
 def read_messages(spark: SparkSession, path: str) -> DataFrame:
@@ -25,11 +26,12 @@ def read_messages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stream_messages(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """S1 as a stream: files that arrive later come through once."""
+    """S1 as a stream: files that arrive later come through once, with the time of their file as `arrived_at`."""
     reader = spark.readStream.schema(MESSAGE_JSON).option("multiLine", True)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return _named(reader.json(f"{path}/{MESSAGE_GLOB}"))
+    raw = reader.json(f"{path}/{MESSAGE_GLOB}")
+    return _named(raw.withColumn("arrived_at", F.col("_metadata.file_modification_time")))
 
 
 def attachment_list(messages: DataFrame) -> DataFrame:
@@ -39,13 +41,14 @@ def attachment_list(messages: DataFrame) -> DataFrame:
 
 
 def read_attachments(spark: SparkSession, messages: DataFrame, path: str) -> DataFrame:
-    """The bytes of each attachment; a file that is not there gives an unreadable document, never an error."""
+    """S2 for a folder small enough to list: the bytes of each attachment; a file that is not there gives an unreadable
+    document. Tables of attachments (`sources/attachments.py`) are for the rest: they also take oversized files."""
     listed = attachment_list(messages)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     marker = path.rstrip("/") + "/"
     files = files.select(F.substring_index(F.col("path"), marker, -1).alias("name"), "content")
     docs = listed.join(files, "name", "left")
-    return docs.withColumn("error", F.when(F.col("content").isNull(), F.lit("could not fetch attachment: no such file")))
+    return docs.withColumn("error", F.when(F.col("content").isNull(), F.lit("the attachment is not in the folder")))
 
 
 def sniff_format(content: Column, name: Column) -> Column:

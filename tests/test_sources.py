@@ -25,7 +25,7 @@ def test_inbox_and_missing_files(spark, tmp_path):
     docs = text_documents(read_attachments(spark, mail, path))
     rows = {r["name"]: r for r in docs.collect()}
     assert mail.count() == 2 and len(rows) == 5
-    assert rows["attachments/0_SI.txt"]["text"] == SI and rows["attachments/1_gone.txt"]["error"].startswith("could not fetch")
+    assert rows["attachments/0_SI.txt"]["text"] == SI and rows["attachments/1_gone.txt"]["error"] == "the attachment is not in the folder"
 
 
 def test_sniffing(spark):

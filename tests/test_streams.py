@@ -4,8 +4,9 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from concord.sources.merge_table import MergeTable
 from concord.streaming.activity import live_counts
-from concord.streaming.ingest import check_batch, current_board, start_late_documents
+from concord.streaming.ingest import check_batch, compact_board, current_board, start_late_documents
 from tests.test_checks import BL, BODY, SI
 
 OVERRIDE = "case_id string, verdict_status string, verdict_defects array<string>, verdict_reason string, confirmed_status string, confirmed_reason string, review_requested_by string, was_resolved boolean"
@@ -13,6 +14,9 @@ OVERRIDE = "case_id string, verdict_status string, verdict_defects array<string>
 
 def test_a_late_document_decides_the_case_again(spark, tmp_path):
     mail = spark.createDataFrame([("c", "a@b.com", "s", BODY), ("other", "a@b.com", "s", BODY)], "case_id string, sender string, subject string, body string")
+    stored = MergeTable(str(tmp_path / "mail"), mail.schema, newest=("subject",))
+    stored.append(mail, 0)
+    stored.compact(spark)
     schema = "case_id string, doc_id string, attachment_no int, name string, text string"
     files = [("c", "c/0", 0, "e_SI.txt", SI)]
     board, arrivals = str(tmp_path / "board"), str(tmp_path / "arrivals")
@@ -25,7 +29,7 @@ def test_a_late_document_decides_the_case_again(spark, tmp_path):
 
     def arrive(k):
         spark.createDataFrame([("c", k)], "case_id string, k int").write.mode("append").parquet(arrivals)
-        start_late_documents(spark.readStream.schema("case_id string, k int").parquet(arrivals), mail, load, board, str(tmp_path / "cp"), overrides=overrides).awaitTermination()
+        start_late_documents(spark.readStream.schema("case_id string, k int").parquet(arrivals), stored, load, board, str(tmp_path / "cp"), overrides=overrides).awaitTermination()
         return {r["case_id"]: r for r in current_board(spark, board).collect()}["c"]
 
     row = arrive(1)  # the same answer: the confirmation survives
@@ -34,6 +38,8 @@ def test_a_late_document_decides_the_case_again(spark, tmp_path):
     row = arrive(2)  # another answer: the case is as the check found it
     assert row["status"] == "MISMATCH" and row["defect_fields"] == ["container_count"]
     assert current_board(spark, board).count() == 2
+    before = sorted(map(str, current_board(spark, board).collect()))
+    assert compact_board(spark, board) == 10**9 + 1 and sorted(map(str, current_board(spark, board).collect())) == before
 
 
 def test_live_counts_drop_repeats_and_take_late_events(spark, tmp_path):

@@ -6,7 +6,9 @@ In Java that is the flag set below; `i` and `m` are added where a pattern needs
 
 from __future__ import annotations
 
-from functools import reduce
+import re._constants as _op
+import re._parser as _parser
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,6 +22,60 @@ def matches(col: Column, pattern: str, flags: str = NOCASE) -> Column:
     return col.rlike(flags + pattern)
 
 
+def folded(col: Column) -> Column:
+    """Lower case as patterns without regard to case see it: four letters beyond ASCII count as ASCII ones there."""
+    return F.lower(F.translate(col, "\u017f\u212a\u0131\u0130", "skii"))
+
+
+@lru_cache(maxsize=None)
+def needed_literals(pattern: str) -> tuple[frozenset[str], ...]:
+    """Sets of lower-case literals: every match of the pattern contains a member of each set. At most two sets, those
+    with the longest literals; none where the pattern needs no literal of two characters or more."""
+    sets = sorted(_needed(_parser.parse(pattern)), key=lambda s: (-min(map(len, s)), len(s), sorted(s)))
+    return tuple(s for s in sets if min(map(len, s)) >= 2)[:2]
+
+
+def _needed(sequence) -> list[frozenset[str]]:
+    found: list[frozenset[str]] = []
+    run = ""
+    for op, value in [*sequence, (None, None)]:
+        if op is _op.LITERAL and value < 128:
+            run += chr(value).lower()
+            continue
+        if run:
+            found.append(frozenset({run}))
+            run = ""
+        if op is _op.SUBPATTERN:
+            found += _needed(value[-1])
+        elif op in (_op.MAX_REPEAT, _op.MIN_REPEAT) and value[0] >= 1:
+            found += _needed(value[2])
+        elif op is _op.BRANCH:
+            each = [_needed(branch) for branch in value[1]]
+            if all(each):
+                best = [max(sets, key=lambda s: (min(map(len, s)), -len(s))) for sets in each]
+                found.append(frozenset().union(*best))
+    return found
+
+
+def guarded(lowered: str, col: Column, pattern: str, flags: str = NOCASE) -> Column:
+    """The pattern's test, run only where the column named `lowered`, the folded text, contains the literals that every
+    match needs.
+
+    Finding a literal is a plain search of bytes, many times cheaper than a pattern that backtracks. The searches of a
+    pattern are one SQL expression, so that a plan with hundreds of them is still quickly built.
+    """
+    test = matches(col, pattern, flags)
+    sets = needed_literals(pattern)
+    if not sets:
+        return test
+
+    def there(literal: str) -> str:
+        quoted = literal.replace("\\", "\\\\").replace("'", "\\'")
+        return f"contains(`{lowered}`, '{quoted}')"
+
+    return F.expr(" AND ".join("(" + " OR ".join(map(there, sorted(s))) + ")" for s in sets)) & test
+
+
 def extract(col: Column, pattern: str, group: int = 0, flags: str = NOCASE) -> Column:
     """The group of the first match, null when nothing matches."""
     hit = F.regexp_extract(col, flags + pattern, group)

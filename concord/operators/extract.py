@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from concord import specs
 from concord.functions.lookup import look_up_in
-from concord.functions.regex import NOCASE, NOCASE_LINES, PLAIN, extract, first_of, look_up, matches, strip, sub
+from concord.functions.regex import NOCASE, NOCASE_LINES, PLAIN, extract, first_of, folded, guarded, look_up, matches, strip, sub
 from concord.functions.text import file_stem
 from concord.functions.values import is_blank, normalise_label
 from concord.operators.knowledge import active_aliases
@@ -95,8 +95,8 @@ def detect_doc_type(
     """
     if doc_rows is None:
         lines = F.split(F.replace(F.col(text), F.lit("\r\n"), F.lit("\n")), "\n")
-        trimmed = F.filter(F.transform(lines, lambda line: sub(line, r"\s+$", "")), lambda line: line != "")
-        df = docs.withColumn("_heads", F.slice(trimmed, 1, title_rows))
+        heads = F.slice(F.filter(lines, lambda line: line.rlike(r"(?U)\S")), 1, title_rows)
+        df = docs.withColumn("_heads", F.transform(heads, lambda line: sub(line, r"\s+$", "")))
         in_body = _title_hit(F.regexp_replace(F.replace(F.col(text), F.lit("\r\n"), F.lit("\n")), r"(?m)[^\S\n]+$", ""))
     else:
         # titles stand on one row, so the body is tested row by row: per document only the first rows and the first hit of
@@ -143,7 +143,7 @@ def match_label(df: DataFrame, label: str, out: str, aliases: DataFrame | None =
     usable = text.isNotNull() & (text != "") & (F.length(text) <= specs.MAX_LABEL_CHARS) & (norm != "")
     by_weight_sign = F.contains(text, F.lit(specs.GROSS_WEIGHT_CJK)) & (F.length(text) <= specs.MAX_LABEL_CHARS)
     df = df.withColumn("_squashed", F.replace(norm, F.lit(" "), F.lit("")))
-    by_rule = first_of([(norm.rlike(pattern), F.lit(field)) for field, pattern in specs.LABEL_RULES])
+    by_rule = first_of([(guarded("_norm", norm, pattern, ""), F.lit(field)) for field, pattern in specs.LABEL_RULES])
     by_squash = first_of(
         [((squashed == key) | (F.startswith(squashed, F.lit(key)) & (F.length(squashed) <= len(key) + 6)), F.lit(field)) for key, field in specs.SQUASHED_LABELS]
     )
@@ -173,10 +173,11 @@ def split_rows(doc_rows: DataFrame, knowledge: DataFrame | None = None) -> DataF
     df = df.withColumn("_before", extract(F.col("text"), COLON_ROW, 1, PLAIN)).withColumn("_after", F.regexp_extract("text", PLAIN + COLON_ROW, 2))
     df = match_label(match_label(df, "_cell", "_c", aliases, "_spread"), "_before", "_t", aliases, "_spread")
     direct = F.col("_c.field").isNotNull() | F.col("_t.field").isNotNull()
-    glued = first_of([(matches(F.col("text"), _glued_pattern(words)), F.lit(field)) for field, words in specs.GLUED_LABELS])
+    df = df.withColumn("_low", folded(F.col("text")))
+    glued = first_of([(guarded("_low", F.col("text"), _glued_pattern(words)), F.lit(field)) for field, words in specs.GLUED_LABELS])
     df = df.withColumn("_start", normalise_label(F.left("text", F.lit(40))))
     # most rows start with no label at all: one pattern of all of them goes before the single ones
-    some = matches(F.col("text"), _glued_pattern("|".join(words for _, words in specs.GLUED_LABELS)))
+    some = guarded("_low", F.col("text"), _glued_pattern("|".join(words for _, words in specs.GLUED_LABELS)))
     df = df.withColumn("_g", F.when(~direct & some & ~F.col("_start").rlike(specs.NOT_A_FIELD), glued))
     # the parts of a glued row are cut by the pattern of the field it was recognised as
     parts = [first_of([(F.col("_g") == field, F.regexp_extract("text", NOCASE + _glued_pattern(words), i)) for field, words in specs.GLUED_LABELS]) for i in (1, 2, 3)]

@@ -199,10 +199,19 @@ def load(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in (names or TABLES)}
 
 
+def _spread(rows: DataFrame, name: str) -> DataFrame:
+    """The orders over all cores. Everything rendered from them is long text and costly expressions over few bytes: a
+    scan cuts its tasks by bytes, so a small file would leave all of that to one task. Dealt while rows are still narrow."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if name != "orders" or rows.rdd.getNumPartitions() >= cores:
+        return rows
+    return rows.repartition(2 * cores, "o_orderkey")
+
+
 def bind(spark: SparkSession, sf_dir: str, ctes: str, select: str) -> DataFrame:
     """Run a rendering query over the driver's tables."""
     for name in ("orders", "lineitem", "customer", "supplier", "events"):
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+        _spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"), name).createOrReplaceTempView(name)
     return spark.sql(f"WITH {ctes} {select}" if ctes else select)
 
 

@@ -15,7 +15,8 @@ words; a random key has none with a chance of 1.6 % (base32 of 20 characters) or
 A random token has a p-value that is uniform, ordinary text has one close to zero - the more so the longer it is. So the
 threshold above which a token counts as random is set for each encoding and band of lengths, over the whole table: the
 share of random tokens follows from the p-values above one half, and the threshold is the lowest at which the estimated
-share of others among the reported is at most `FALSE_SHARE`. The histogram has at most BINS rows for each of at most 80
+share of others among the reported is at most `FALSE_SHARE`. A stratum of few tokens, from which that cannot be told, takes
+the threshold of its encoding or of the table, so that a lone key is not lost for want of company. The histogram has at most BINS rows for each of at most 80
 strata (encoding, band of lengths, run or piece), whatever the table.
 
 Defined results: a null text is empty; places are code points, ends exclusive; spans are sorted by start, then by kind in
@@ -49,6 +50,9 @@ PIECE = r"[A-Za-z0-9+]+=*"
 WORD = r"(^|[/_-])([a-z]{2,}|[A-Z]{2,})[/_-]"
 FALSE_SHARE = 0.05
 BINS = 64
+#: Tokens beyond the lowest bin from which a stratum is judged by itself alone, and the limit of a table with fewer.
+ENOUGH = 16
+LONE = 0.02
 #: Hex in groups of at least four, joined by hyphens that are no data.
 GROUPED = (r"^[0-9a-f]{4,}(-[0-9a-f]{4,})+$", r"^[0-9A-F]{4,}(-[0-9A-F]{4,})+$")
 #: Encodings from the narrowest: name, characters that occur, alphabet in order.
@@ -190,24 +194,54 @@ def _stratum(c: Column) -> Column:
     return ((c["encoding"] + F.when(c["piece"], F.lit(len(ENCODINGS))).otherwise(F.lit(0))) * 4 + band).cast("int")
 
 
+def lowest_accepted(hist: list[int], false_share: float) -> float | None:
+    """The lowest p-value at which at most `false_share` of the tokens reported are others than random ones, by the
+    estimate from the upper half of the histogram; None where there is no such value."""
+    random_each = sum(hist[BINS // 2 :]) / (BINS - BINS // 2)
+    best, reported = None, 0
+    for b in reversed(range(BINS)):
+        reported += hist[b]
+        others = max(0.0, reported - random_each * (BINS - b))
+        if reported and others <= false_share * reported:
+            best = b / BINS
+    return None if best is None else max(best, 1e-3)
+
+
+def limits_of(counts: dict[int, list[int]], false_share: float = FALSE_SHARE) -> dict[int, float]:
+    """Lowest accepted p-value of each stratum, from its histogram of p-values.
+
+    Fewer than ENOUGH tokens beyond the lowest bin are too few to tell that none is random. Such a stratum without a value
+    of its own takes that of its encoding, then that of the whole table; where even the table has too few, LONE.
+    """
+
+    def pooled(strata) -> list[int]:
+        return [sum(x) for x in zip(*(counts[s] for s in strata))]
+
+    def few(hist: list[int]) -> bool:
+        return sum(hist[1:]) < ENOUGH
+
+    out = {}
+    for s, hist in counts.items():
+        limit = lowest_accepted(hist, false_share)
+        if limit is None and few(hist):
+            for level in (pooled(x for x in counts if x // 4 == s // 4), pooled(counts)):
+                if not few(level):
+                    limit = lowest_accepted(level, false_share)
+                    break
+            else:
+                limit = LONE
+        if limit is not None:
+            out[s] = limit
+    return out
+
+
 def thresholds(rows: DataFrame, false_share: float = FALSE_SHARE) -> dict[int, float]:
     """Lowest accepted p-value of each stratum, from the candidates (column `cands`) of all rows; at most 80 entries."""
     one = rows.select(F.explode("cands").alias("c")).select(_stratum(F.col("c")).alias("s"), F.least(F.lit(BINS - 1), F.floor(F.col("c.p") * BINS)).cast("int").alias("b"))
     counts: dict[int, list[int]] = {}
     for r in one.groupBy("s", "b").agg(F.count(F.lit(1)).alias("n")).collect():
         counts.setdefault(r["s"], [0] * BINS)[r["b"]] = r["n"]
-    out = {}
-    for s, hist in counts.items():
-        random_each = sum(hist[BINS // 2 :]) / (BINS - BINS // 2)
-        best, reported = None, 0
-        for b in reversed(range(BINS)):
-            reported += hist[b]
-            others = max(0.0, reported - random_each * (BINS - b))
-            if reported and others <= false_share * reported:
-                best = b / BINS
-        if best is not None:
-            out[s] = max(best, 1e-3)
-    return out
+    return limits_of(counts, false_share)
 
 
 def random_spans(cands: Column, limits: dict[int, float]) -> Column:

@@ -155,3 +155,28 @@ def test_each_form_of_random_key_is_found_at_its_place(docs_of):
     for k in range(len(forms)):
         assert sum(keys[100 * k + i] in got[100 * k + i] or any(s <= keys[100 * k + i][0] and e == keys[100 * k + i][1] for s, e in got[100 * k + i]) for i in range(60)) > 30, k
     assert not any(got[5000 + i] for i in range(60))
+
+
+def test_a_lone_key_is_not_lost(spark):
+    """200 tables of one random key each: the key's own limit finds it; a large table's limits stay as they were."""
+    import random as rnd
+
+    from concord.llm import randomness_tests as R
+
+    rnd.seed(11)
+    alphabets = ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]
+    keys = [("".join(rnd.choice(alphabets[i % 3]) for _ in range((40, 32, 48)[i % 3])),) for i in range(200)]
+    c = spark.createDataFrame(keys, "text string").select(R.battery(F.col("text")).alias("t")).select("t.encoding", "t.n", "t.p", F.lit(False).alias("piece"))
+    rows = c.select(R._stratum(F.struct("encoding", "n", "piece")).alias("s"), "p").collect()
+    found = 0
+    for r in rows:
+        hist = [0] * R.BINS
+        hist[min(R.BINS - 1, int(r["p"] * R.BINS))] = 1
+        found += r["p"] >= R.limits_of({r["s"]: hist}).get(r["s"], 2.0)
+    assert found >= 190
+    text, drawn = [900, 30, 12, 6, 4] + [0] * (R.BINS - 5), [10] * R.BINS
+    assert R.limits_of({0: text}) == {} and R.limits_of({0: drawn}) == {0: 1e-3}
+    lone = [0] * R.BINS
+    lone[20] = 1
+    limits = R.limits_of({0: drawn, 1: lone, 8: text, 9: lone})
+    assert limits[1] == 1e-3 and 8 not in limits and 9 not in limits  # few in a stratum of text stay text

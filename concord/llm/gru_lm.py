@@ -82,13 +82,35 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "token string, tail int, n long").groupBy("token", "tail").agg(F.sum("n").alias("c"))
 
 
+def most_frequent(counts: DataFrame, n: int) -> list:
+    """The n rows of (token, c) with the largest c, ties by token.
+
+    A plain top-n sends n rows of every partition to the driver. So the count of the n-th row is found first, from a
+    histogram of quarter octaves and then of the counts in one of them; what is fetched are the rows above it and those
+    that tie with it.
+    """
+    octave = F.floor(F.log2(F.col("c").cast("double")) * 4)
+    above, cut = 0, 0
+    for r in sorted(counts.groupBy(octave.alias("o")).agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):
+        if above + r["n"] >= n:
+            inside = counts.where(octave == r["o"]).groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()
+            for x in sorted(inside, reverse=True):
+                above, cut = above + x["n"], x["c"]
+                if above >= n:
+                    break
+            break
+        above += r["n"]
+    rows = counts.where(F.col("c") >= cut).select("token", "c").collect()
+    return sorted(rows, key=lambda r: (-r["c"], r["token"].encode()))[:n]
+
+
 class Lexicon:
     """Totals of the counts, the KNOWN most frequent tokens, and which of them are in the head."""
 
     def __init__(self, counts: DataFrame) -> None:
         total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
         self.total, self.distinct = int(total), int(distinct)
-        top = counts.orderBy(F.desc("c"), "token").limit(KNOWN).collect()
+        top = most_frequent(counts, KNOWN)
         ranked = [(r["token"].encode(), r["c"]) for r in top if r["token"] != END.decode()]
         ends = counts.where(F.col("token") == END.decode()).select("c").first()
         words = [(END, ends["c"] if ends else 0), *ranked]

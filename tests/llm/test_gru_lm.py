@@ -160,3 +160,17 @@ def test_training_reaches_the_late_words_of_a_text(spark):
     for k in range(4):
         row = lexicon.row[lexicon.code[f"s{k}".encode()]]
         assert (model.p["emb"][row] != before[row]).any(), k
+
+
+def test_most_frequent_by_histogram(spark):
+    import random as rnd
+
+    from concord.llm.gru_lm import most_frequent
+
+    rnd.seed(1)
+    rows = [(f"t{i}", rnd.choice([1, 1, 2, 3, 7, 100, rnd.randint(1, 10**9)])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "token string, c long")
+    order = sorted(rows, key=lambda r: (-r[1], r[0].encode()))
+    for n in (1, 5, 400, 700, 2999, 3000, 5000):
+        assert [tuple(r) for r in most_frequent(df, n)] == order[:n]
+    assert most_frequent(df.limit(0), 5) == []

@@ -17,9 +17,11 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,8 +34,10 @@ GROUP_ROWS = 5_000
 #: Text parts whose ids a worker remembers before it starts anew; bounds memory, not results.
 MEMO_PARTS = 1_400_000
 
-_PART = re.compile(r" ?[^ \n]+|\n")
+_MARK = "\x00"
+_OTHER = re.compile(r"[^\S \n]")
 _CUT = re.compile(r" (?=\S)")
+_INNER = re.compile(r".\s|^[^\S ]|^ ?$", re.S)
 
 
 class Encoder:
@@ -54,58 +58,84 @@ class Encoder:
         self.token_bytes = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():
             self.token_bytes[i] = len(token)  # one character of a byte-level token stands for one byte
-        self.memo: dict[str, bytes] = {}
-        self.odd: set[str] = set()
+        self._forget()
+
+    def _forget(self) -> None:
+        """Start with no parts: `memo` numbers them, their ids lie one after the other in `ids` from `first`, `size` of them."""
+        self.memo: dict[str, int] = {}
+        self.ids, self.first, self.size = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        even = ["  " not in x and " \n" not in x and "\n\n" not in x and not x.endswith(" ") for x in texts]
-        parts = [_PART.findall(x) if ok else self._cut(x) for x, ok in zip(texts, even)]
+        marked = pa.array(["" if _MARK in x else self._marked(x) for x in texts], pa.large_string())
+        lists = pc.split_pattern(marked, _MARK)
+        flat = lists.flatten().dictionary_encode()  # each part once: what follows touches distinct parts only
+        distinct = flat.dictionary.to_pylist()
         if len(self.memo) > MEMO_PARTS:
-            self.memo.clear()
-            self.odd.clear()
-        self._learn({p for x in parts for p in x if p not in self.memo})
-        again = [i for i, x in enumerate(parts) if even[i] and not self.odd.isdisjoint(x)] if self.odd else []
-        for i in again:
-            parts[i] = self._cut(texts[i])
-        self._learn({p for i in again for p in parts[i] if p not in self.memo})
-        return [b"".join(map(self.memo.__getitem__, x)) for x in parts]
+            self._forget()
+        self._learn(set(distinct).difference(self.memo))
+        known = np.fromiter(map(self.memo.__getitem__, distinct), np.int64, len(distinct))
+        number = known[flat.indices.to_numpy()]
+        raw = self._gather(number).tobytes()
+        counts = lists.value_lengths().to_numpy().astype(np.int64)
+        ends = 4 * np.concatenate(([0], np.cumsum(self.size[number])))[np.concatenate(([0], np.cumsum(counts)))]
+        # a text that holds the mark itself is encoded whole
+        return [self._ids(x).tobytes() if _MARK in x else raw[s:e] for x, s, e in zip(texts, ends.tolist(), ends[1:].tolist())]
 
     @staticmethod
-    def _cut(text: str) -> list[str]:
-        return [x if i == 0 else " " + x for i, x in enumerate(_CUT.split(text))]
+    def _marked(text: str) -> str:
+        """The text with a mark at each place where it is cut."""
+        if "  " in text or " \n" in text or "\n\n" in text or text.endswith(" ") or _OTHER.search(text):
+            return _CUT.sub(_MARK + " ", text)
+        return text.replace(" ", _MARK + " ").replace("\n", _MARK + "\n" + _MARK)
+
+    def _gather(self, number: np.ndarray) -> np.ndarray:
+        """The ids of numbered parts, laid end to end."""
+        size = self.size[number]
+        shift = self.first[number] - (np.cumsum(size) - size)
+        return self.ids[np.repeat(shift, size) + np.arange(int(size.sum()))]
+
+    def _add(self, parts: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+        self.memo.update(zip(parts, range(len(self.size), len(self.size) + len(parts))))
+        self.first = np.concatenate((self.first, len(self.ids) + np.cumsum(size) - size))
+        self.size = np.concatenate((self.size, size))
+        self.ids = np.concatenate((self.ids, ids))
 
     def _learn(self, new: set[str]) -> None:
         """Ids of new parts; those after whose letters one mark stands share the ids of the rest."""
-        plain, marked = set(), []
+        plain, marked, single = set(), [], []
         for p in new:
-            if len(p.split(None, 1)) != 1 or p.lstrip(" ") != p.strip():  # white space elsewhere than in front
-                if p != "\n":
-                    self.odd.add(p)
-                self.memo[p] = self._ids(p)
+            if p[p[:1] == " " :].isalnum():
+                plain.add(p)
+            elif _INNER.search(p):  # white space elsewhere than one space in front
+                single.append(p)
             elif len(p) > 2 and p[-1] in ".,;:!?" and p[-2].isalpha():
                 marked.append(p)
                 plain.update((p[:-1], p[-1]))
             else:
                 plain.add(p)
-        some = [p for p in plain if p not in self.memo]
-        for i in range(0, len(some), 2000):
-            self._learn_joined(some[i : i + 2000])
-        for p in marked:
-            self.memo[p] = self.memo[p[:-1]] + self.memo[p[-1]]
-
-    def _learn_joined(self, some: list[str]) -> None:
-        """Parts encoded as one text with line feeds between them, cut again by the bytes of the tokens."""
+        some = list(plain.difference(self.memo))
+        if some or single:
+            found = [self._joined(some[i : i + 2000]) for i in range(0, len(some), 2000)] + [([p], x := self._ids(p), np.array([len(x)])) for p in single]
+            self._add([p for x, _, _ in found for p in x], np.concatenate([x for _, x, _ in found]), np.concatenate([x for _, _, x in found]))
+        if marked:
+            number = np.array([(self.memo[p[:-1]], self.memo[p[-1]]) for p in marked])
+            self._add(marked, self._gather(number.ravel()), self.size[number].sum(axis=1))
+
+    def _joined(self, some: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Parts encoded as one text with line feeds between them, cut again by the bytes of the tokens: (parts, ids, sizes)."""
         ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, "<u4")
         ends = np.cumsum(self.token_bytes[ids])
-        size = np.fromiter((len(p.encode()) for p in some), np.int64, len(some))
+        size = pc.binary_length(pa.array(some, pa.string())).to_numpy().astype(np.int64)
         start = np.cumsum(size + 1) - size - 1
         first, last = np.searchsorted(ends, start, "right"), np.searchsorted(ends, start + size, "right")
-        exact = ends[last - 1] == start + size
-        for p, a, b, ok in zip(some, first.tolist(), last.tolist(), exact.tolist()):
-            self.memo[p] = ids[a:b].tobytes() if ok else self._ids(p)
-
-    def _ids(self, part: str) -> bytes:
-        return np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
+        if (ends[last - 1] == start + size).all() and (np.concatenate(([0], ends))[first] == start).all():
+            n = last - first
+            return some, ids[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], n
+        each = [self._ids(p) for p in some]
+        return some, np.concatenate(each), np.fromiter(map(len, each), np.int64, len(each))
+
+    def _ids(self, part: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4")
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -239,7 +239,8 @@ def document_sentences(spark, sf):
 
 @query
 def value_differences(spark, sf):
-    f = b.forms(spark, sf).where("has_lines")
+    """T9 for every order; one without lines has no documents, so its parts are null."""
+    f = b.forms(spark, sf)
     return f.select("case_id", T.diff_values(F.col("si_shipper"), F.col("bl_shipper")).alias("d")).select("case_id", "d.*")
 
 
@@ -608,11 +609,34 @@ def attention_rows(spark, sf):
 
 @query
 def situations(spark, sf):
-    board = b.case_board(spark, sf).withColumns({
+    return Q.situation(_facts_of_cases(spark, sf).withColumn("replied", F.col("is_read"))).select("case_id", "situation", "tone", "step", "done")
+
+
+def _facts_of_cases(spark: SparkSession, sf: str) -> DataFrame:
+    return b.case_board(spark, sf).withColumns({
         "decided_by_person": F.col("is_read") & F.col("starred"), "was_compared": F.col("compared"),
         "n_missing": F.when(F.col("variant").isin(13, 14), F.lit(1)).otherwise(F.lit(0)), "n_unsure": F.when(F.col("variant").isin(10, 12, 17), F.lit(1)).otherwise(F.lit(0)),
-        "broken_file": F.col("variant") == 12, "scanned_file": F.col("variant").isin(10, 12, 17), "replied": F.col("is_read")})
-    return Q.situation(board).select("case_id", "situation", "tone", "step", "done")
+        "broken_file": F.col("variant") == 12, "scanned_file": F.col("variant").isin(10, 12, 17)})
+
+
+def _replies(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(sent replies, activity) out of the corrections: drafts count as sent, the other kinds as what a person did."""
+    log = b.corrections(spark, sf)
+    action = F.when(F.col("kind") == "verdict", F.lit("verdict changed")).when(F.col("kind") == "field_value", F.lit("value corrected")).when(F.col("kind") == "category", F.lit("category changed")).otherwise(F.lit("note added"))
+    return log.where("kind = 'draft'").select("case_id", F.col("at").alias("sent_at")), log.where("kind <> 'draft'").select("case_id", action.alias("action"), "at")
+
+
+@query
+def reply_states(spark, sf):
+    """Q10: whether the last reply still answers the case."""
+    return Q.reply_state(*_replies(spark, sf)).select("case_id", "last_sent", "last_change", "replied", "outdated")
+
+
+@query
+def answered_situations(spark, sf):
+    """Q10 with `replied` computed from the replies and the later changes."""
+    facts = Q.with_replies(_facts_of_cases(spark, sf), *_replies(spark, sf))
+    return Q.situation(facts).select("case_id", "replied", "situation", "tone", "step", "done")
 
 
 @query

@@ -168,7 +168,7 @@ O["message_facts"] = _with(b.MESSAGES, _FACTS + """ SELECT case_id, left(regexp_
 O["message_traffic"] = _with(b.MESSAGES, _FACTS + """ SELECT customer, count(*) AS messages, count(oc_no) AS with_order_no, count(bl_no) AS with_bl_no, count(invoice) AS with_invoice,
   CAST(sum(length(said)) AS BIGINT) AS message_chars FROM named GROUP BY 1""")
 O["file_roles"] = _with(b.DOCUMENTS, "SELECT doc_id, right(doc_id, 2) AS role FROM docs")
-O["value_differences"] = _with(b.FORMS, """, p AS (SELECT case_id, si_shipper AS a, bl_shipper AS c FROM forms WHERE has_lines),
+O["value_differences"] = _with(b.FORMS, """, p AS (SELECT case_id, si_shipper AS a, bl_shipper AS c FROM forms),
   s AS (SELECT *, coalesce(list_max(list_filter(range(1, least(length(a), length(c)) + 1), lambda i: left(a, i) = left(c, i))), 0) AS st FROM p),
   e AS (SELECT *, coalesce(list_max(list_filter(range(1, least(length(a), length(c)) - st + 1), lambda i: right(a, i) = right(c, i))), 0) AS en FROM s)
   SELECT case_id, left(a, st) AS same_start, substr(a, st + 1, length(a) - en - st) AS left_part, substr(c, st + 1, length(c) - en - st) AS right_part, right(a, en) AS same_end FROM e""")
@@ -325,11 +325,23 @@ _KIND = f"""CASE WHEN status = 'FAILED' THEN 'failed' WHEN status = 'PENDING' OR
   WHEN is_read AND starred THEN 'undecided' WHEN review_reason = 'missing_attachment' THEN 'missing_doc'
   WHEN review_reason = 'unreadable' THEN CASE WHEN variant = 12 OR variant NOT IN (10, 12, 17) THEN 'cant_open' ELSE 'scan' END WHEN review_reason = 'wrong_doc_type' THEN 'wrong_doc'
   WHEN variant IN (10, 12, 17) THEN 'unsure' WHEN variant IN (13, 14) THEN 'blank' ELSE 'not_sure_enough' END"""
-O["situations"] = _with(b.CASES, f""", s AS (SELECT *, {_KIND} AS situation, status = 'FAILED' OR (category = 'BL_COMPARISON' AND status <> 'PENDING') AS closes FROM board),
+
+
+def _situation(board: str, replied: str, more: str = "") -> str:
+    return f""", s AS (SELECT *, {_KIND} AS situation, status = 'FAILED' OR (category = 'BL_COMPARISON' AND status <> 'PENDING') AS closes FROM {board}),
   t AS (SELECT *, CASE situation WHEN 'failed' THEN 'failed' WHEN 'nocheck' THEN 'neutral' WHEN 'junk' THEN 'neutral' WHEN 'mismatch' THEN 'mismatch' WHEN 'match' THEN 'ok' WHEN 'waiting_for_draft' THEN 'ok' ELSE 'review' END AS tone,
     CASE situation WHEN 'failed' THEN 'retry' WHEN 'nocheck' THEN 'none' WHEN 'junk' THEN 'none' WHEN 'kind_unsure' THEN 'confirm' WHEN 'undecided' THEN 'none' WHEN 'unsure' THEN 'decide' ELSE 'send' END AS first_step,
-    coalesce(closes AND is_read AND NOT {_WAITING}, false) AS done FROM s)
-  SELECT case_id, situation, tone, done, CASE WHEN closes AND {_WAITING} AND (status IN ('OK', 'MISMATCH') OR (is_read AND first_step = 'send')) THEN 'confirm' WHEN done AND first_step = 'send' THEN 'none' ELSE first_step END AS step FROM t""")
+    coalesce(closes AND {replied} AND NOT {_WAITING}, false) AS done FROM s)
+  SELECT case_id, {more}situation, tone, done, CASE WHEN closes AND {_WAITING} AND (status IN ('OK', 'MISMATCH') OR ({replied} AND first_step = 'send')) THEN 'confirm' WHEN done AND first_step = 'send' THEN 'none' ELSE first_step END AS step FROM t"""
+
+
+O["situations"] = _with(b.CASES, _situation("board", "is_read"))
+_STATES = """, states AS (SELECT case_id, max("at") FILTER (WHERE kind = 'draft') AS last_sent, max("at") FILTER (WHERE kind IN ('verdict', 'field_value', 'category')) AS last_change FROM corrections
+    GROUP BY case_id HAVING last_sent IS NOT NULL OR last_change IS NOT NULL),
+  replies AS (SELECT *, last_sent IS NOT NULL AND coalesce(last_change <= last_sent, true) AS replied, last_sent IS NOT NULL AND coalesce(last_change > last_sent, false) AS outdated FROM states)"""
+O["reply_states"] = _with(b.CORRECTIONS, _STATES + " SELECT case_id, last_sent, last_change, replied, outdated FROM replies")
+O["answered_situations"] = _with(b.CORRECTIONS + ", " + b.CASES[len(b.MESSAGES):].lstrip(", ").lstrip(), _STATES + ", told AS (SELECT d.*, coalesce(r.replied, false) AS replied FROM board d LEFT JOIN replies r ON r.case_id = d.case_id)"
+                                + _situation("told", "replied", "replied, "))
 O["knowledge_digest"] = f"""WITH {b.HISTORY}, i AS (SELECT md5(concat_ws(chr(31), action, CAST(item_id AS VARCHAR), value)) AS h FROM history),
   n AS (SELECT count(*) AS items, sum(CAST('0x' || h[1:8] AS UBIGINT)) AS a, sum(CAST('0x' || h[9:16] AS UBIGINT)) AS b FROM i)
   SELECT items, left(sha1(concat_ws(':', items, a, b)), 10) AS version FROM n"""

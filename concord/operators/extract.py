@@ -30,8 +30,8 @@ def read_state(text: Column) -> Column:
     odd = F.length(text) - F.length(F.regexp_replace(text, "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f�]", ""))
     return first_of(
         [
-            (text.isNull() | ~text.rlike(r"(?U)\S"), F.lit("file is empty")),
-            (odd > 0.10 * F.length(text), F.lit("file content is not readable text")),
+            (text.isNull() | ~text.rlike(r"(?U)\S"), F.lit("nothing is written in it")),
+            (odd > 0.10 * F.length(text), F.lit("too many of its characters are no text")),
         ]
     )
 

@@ -348,10 +348,10 @@ O["knowledge_digest"] = f"""WITH {b.HISTORY}, i AS (SELECT md5(concat_ws(chr(31)
 
 _T = {k: v.replace("'", "''") for k, v in specs.REPLY_TEXTS.items()}
 _ASK = {k: [x.replace("'", "''") for x in v.split("{what}")] for k, v in specs.REASON_ASK.items()}
-_WHAT = {"missing_attachment": "'the SI and the draft BL'", "unreadable": "'the attached document(s)'", "wrong_doc_type": "'One of the attachments is not the draft BL'",
+_WHAT = {"missing_attachment": "'the shipping instruction and the bill of lading draft'", "unreadable": "'what came with the message'", "wrong_doc_type": "'No bill of lading draft is among the files'",
          "missing_value": "CASE WHEN compared AND variant IN (13, 14) THEN 'Consignee' ELSE 'one or more of the key fields' END"}
 _BLOCKS = ", ".join(
-    f"CASE WHEN list_contains(string_split(defect_text, ','), '{f}') THEN concat('  - {specs.FIELD_TITLES[f]}', chr(10), '      SI (correct): ', coalesce(nullif(si_{c}, ''), '-'), chr(10), '      Draft BL:     ', coalesce(nullif(bl_{c}, ''), '-')) END"
+    f"CASE WHEN list_contains(string_split(defect_text, ','), '{f}') THEN concat('  - {specs.FIELD_TITLES[f]}', chr(10), '      as instructed: ', coalesce(nullif(si_{c}, ''), '-'), chr(10), '      as drafted:    ', coalesce(nullif(bl_{c}, ''), '-')) END"
     for f, c in sorted(b.FIELD_COLUMNS, key=lambda p: specs.FIELDS.index(p[0]))
 )
 O["draft_replies"] = _with(b.CASES, f""", x AS (SELECT m.*, f.*EXCLUDE (case_id, variant, has_lines), CASE WHEN m.variant % 2 = 0 THEN concat(' (REF', m.case_id, ')') ELSE '' END AS ref, coalesce(m.review_reason, 'unreadable') AS why

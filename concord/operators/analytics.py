@@ -168,6 +168,14 @@ def overrule_metrics(corrections: DataFrame, cases: DataFrame) -> DataFrame:
     return df.select("overruled_cases", _share(F.col("overruled_cases"), F.col("_s.checks")).alias("overruled_rate"), "replies_edited", F.col("_s.failed").alias("failed"))
 
 
+def overrules_by_kind(corrections: DataFrame, cases: DataFrame) -> DataFrame:
+    """(kind, n, cases) of what people overruled; kinds nobody overruled are listed with zero."""
+    kinds = F.explode(F.array(*[F.lit(k) for k in specs.OVERRULE_KINDS])).alias("kind")
+    found = _in_scope(corrections, cases).where(F.col("kind").isin(specs.OVERRULE_KINDS)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("case_id").alias("cases"))
+    listed = corrections.sparkSession.range(1).select(kinds)
+    return listed.join(found, "kind", "left").select("kind", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("cases", F.lit(0)).alias("cases"))
+
+
 def overruled_fields(corrections: DataFrame, cases: DataFrame, n: int = 7) -> DataFrame:
     """The fields people corrected most (a top-n report)."""
     rows = _in_scope(corrections, cases).where(F.col("kind").isin(specs.OVERRULE_KINDS) & F.col("field").isNotNull())

@@ -795,6 +795,12 @@ def overrules(spark, sf):
     return A.overrule_metrics(b.corrections(spark, sf), b.case_board(spark, sf))
 
 
+@query
+def overrules_by_kind(spark, sf):
+    """Overrules by what was overruled."""
+    return A.overrules_by_kind(b.corrections(spark, sf), b.case_board(spark, sf))
+
+
 @query
 def overruled_fields(spark, sf):
     return A.overruled_fields(b.corrections(spark, sf), b.case_board(spark, sf))

@@ -418,6 +418,7 @@ O["queue_and_quality"] = _with(b.CASES, _HEAD + f" SELECT open_review, low_confi
 _RULED = "kind IN ('verdict', 'field_result', 'field_value', 'category')"
 O["overrules"] = _with(_CORR_BOARD, f"""SELECT count(DISTINCT case_id) FILTER (WHERE {_RULED}) AS overruled_cases, round(count(DISTINCT case_id) FILTER (WHERE {_RULED}) / (SELECT count(*) FROM board WHERE {_CHK}), 3)::DOUBLE AS overruled_rate,
   count(*) FILTER (WHERE kind = 'draft') AS replies_edited, (SELECT count(*) FROM board WHERE status = 'FAILED') AS failed FROM corrections""")
+O["overrules_by_kind"] = _with(_CORR_BOARD, f"""SELECT k.kind, count(c.id) AS n, count(DISTINCT c.case_id) AS cases FROM (SELECT unnest({list(specs.OVERRULE_KINDS)}) AS kind) k LEFT JOIN corrections c ON c.kind = k.kind GROUP BY 1""")
 _TITLES = "CASE field " + " ".join(f"WHEN '{f}' THEN '{t}'" for f, t in specs.FIELD_TITLES.items()) + " END"
 O["overruled_fields"] = _with(b.CORRECTIONS, f"SELECT {_TITLES} AS label, count(*) AS n FROM corrections WHERE {_RULED} AND field IS NOT NULL GROUP BY 1 ORDER BY n DESC, label LIMIT 7")
 O["assisted_counts"] = _with(b.MESSAGES, "SELECT count(*) FILTER (WHERE starred) AS sorted_by_assistant, count(*) FILTER (WHERE is_read) AS previews, count(*) FILTER (WHERE variant IN (13, 14)) AS read_by_assistant FROM messages")

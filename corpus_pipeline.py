@@ -1,7 +1,7 @@
 """The pipeline over documents: each stage calls one operator of concord.llm and works on all that the stage before kept.
 
 toxicity      documents scored as toxic go
-near_copies   one document of each group of SimHash near-duplicates stays
+near_copies   one document of each group of SimHash near-duplicates stays: five-word shingles, similarity of 0.8 or more
 benchmark     documents that hold a benchmark window go
 secrets       secrets in the text are masked, and n_chars follows
 packing       what is left is packed into token sequences: (doc_id, piece, start, length, ids_crc32, sequence_id, offset)
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from concord.llm.bin_slack import pack_documents
 from concord.llm.common import table
 from concord.llm.randomness_tests import redacted
-from concord.llm.simhash_tree import drop_near_duplicates
+from concord.llm.simhash_similar import drop_similar
 from concord.llm.suffix_match import decontaminated
 from concord.llm.toxicity_gru import without_toxic
 from concord.session import as_table, new_run_dir
@@ -28,7 +28,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_near_duplicates(docs)
+    return drop_similar(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

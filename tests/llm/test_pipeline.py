@@ -3,7 +3,7 @@ from concord.llm import toxicity_gru
 from concord.llm.toxicity_gru import fitted, score_texts
 from tests.llm.test_bin_slack import holds
 from tests.llm.test_randomness_tests import brute as secret_spans
-from tests.llm.test_simhash_tree import brute as near
+from tests.llm.test_simhash_similar import kept as near
 from tests.llm.test_suffix_match import brute as hits
 
 
@@ -25,7 +25,7 @@ def test_run_against_brute_force(spark, sf, monkeypatch):
     scores = score_texts(net, [t.encode() for _, t in pairs])
     pairs = [p for p, s in zip(pairs, scores) if s < 0.3]
     text = dict(pairs)
-    stay = sorted({c for _, _, c in near(pairs)})
+    stay = near(pairs)
     bench = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
     bad = {r[0] for r in hits([(i, text[i]) for i in stay], bench) if r[5]}
     assert bad

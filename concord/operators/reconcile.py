@@ -101,8 +101,18 @@ def _is(*fields: str) -> Column:
     return F.col("field").isin(*fields)
 
 
-def _outcome(result: str, confidence: float) -> Column:
-    return F.struct(F.lit(result).alias("result"), F.lit(confidence).alias("confidence"))
+def _outcome(result: str, confidence: float, finding: str | Column) -> Column:
+    text = F.lit(finding) if isinstance(finding, str) else finding
+    return F.struct(F.lit(result).alias("result"), F.lit(confidence).alias("confidence"), text.alias("finding"))
+
+
+def _between(*parts: str | Column) -> Column:
+    """One sentence of literals and values; an absent value reads as nothing."""
+    return F.concat(*[F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("")) for p in parts])
+
+
+def _unread(what: str, l: Column) -> Column:
+    return _between(f"no {what} can be read on the ", F.when(l.isNull(), F.lit("SI")).otherwise(F.lit("BL")))
 
 
 def _party_rule(match_ratio: float, unsure_ratio: float) -> Column:
@@ -112,13 +122,13 @@ def _party_rule(match_ratio: float, unsure_ratio: float) -> Column:
     typo, close = Similarity.at_least(match_ratio), Similarity.at_least(unsure_ratio)
     return first_of(
         [
-            (l == r, _outcome("match", 0.99)),
-            (F.col("l.norm.order_only") | F.col("r.norm.order_only"), _outcome("unsure", 0.5)),
-            (same_core, _outcome("unsure", 0.55)),
-            ((F.abs(F.length(l) - F.length(r)) <= 2) & typo, _outcome("match", 0.75)),
-            (close, _outcome("unsure", 0.5)),
+            (l == r, _outcome("match", 0.99, "the names agree")),
+            (F.col("l.norm.order_only") | F.col("r.norm.order_only"), _outcome("unsure", 0.5, "an order clause stands where a name is needed")),
+            (same_core, _outcome("unsure", 0.55, "the names agree but for the legal form")),
+            ((F.abs(F.length(l) - F.length(r)) <= 2) & typo, _outcome("match", 0.75, "the names differ by a slip of the pen")),
+            (close, _outcome("unsure", 0.5, _between("the names resemble each other: ", l, " and ", r))),
         ],
-        _outcome("mismatch", 0.97),
+        _outcome("mismatch", 0.97, _between("two companies: ", l, " and ", r)),
     )
 
 
@@ -129,14 +139,15 @@ def _port_rule() -> Column:
     other_country = both_countries & (lp["country"] != rp["country"])
     other_code = lp["locode"].isNotNull() & rp["locode"].isNotNull() & (lp["locode"] != rp["locode"])
     close = Similarity.at_least(specs.PORT_UNSURE_RATIO)
+    same_code = F.when(lp["locode"] == rp["locode"], F.concat(F.lit("; both carry the code "), lp["locode"]))
     return first_of(
         [
-            ((l == r) & other_country, _outcome("unsure", 0.5)),
-            ((l == r) & other_code, _outcome("unsure", 0.55)),
-            (l == r, _outcome("match", 0.99)),
-            (~other_country & close, _outcome("unsure", 0.5)),
+            ((l == r) & other_country, _outcome("unsure", 0.5, _between("one town in two countries: ", lp["country"], " and ", rp["country"]))),
+            ((l == r) & other_code, _outcome("unsure", 0.55, _between("one town with two codes: ", lp["locode"], " and ", rp["locode"]))),
+            (l == r, _outcome("match", 0.99, "the towns agree")),
+            (~other_country & close, _outcome("unsure", 0.5, _between("the towns are spelled nearly alike: ", l, " and ", r))),
         ],
-        _outcome("mismatch", 0.97),
+        _outcome("mismatch", 0.97, _between("two towns: ", l, " and ", r, same_code)),
     )
 
 
@@ -150,11 +161,11 @@ def _count_rule() -> Column:
     resized = (F.size(l["sizes"]) > 0) & (F.size(r["sizes"]) > 0) & (sizes(l) != sizes(r))
     return first_of(
         [
-            (l["count"].isNull() | r["count"].isNull(), _outcome("unsure", 0.4)),
-            (l["count"] != r["count"], _outcome("mismatch", 0.98)),
-            (resized, _outcome("match", 0.8)),
+            (l["count"].isNull() | r["count"].isNull(), _outcome("unsure", 0.4, _unread("count", l["count"]))),
+            (l["count"] != r["count"], _outcome("mismatch", 0.98, _between(l["count"], " containers against ", r["count"]))),
+            (resized, _outcome("match", 0.8, "the counts agree, the sizes do not")),
         ],
-        _outcome("match", 0.99),
+        _outcome("match", 0.99, "the counts agree"),
     )
 
 
@@ -163,17 +174,20 @@ def _weight_rule(tolerance_kg: float, tolerance_pct: float) -> Column:
     l, r = F.col("l.norm.weight"), F.col("r.norm.weight")
     return first_of(
         [
-            (l.isNull() | r.isNull(), _outcome("unsure", 0.4)),
-            (F.abs(l - r) <= F.greatest(F.lit(tolerance_kg), tolerance_pct / 100 * l), _outcome("match", 0.99)),
+            (l.isNull() | r.isNull(), _outcome("unsure", 0.4, _unread("weight", l))),
+            (l == r, _outcome("match", 0.99, "the weights agree")),
+            (F.abs(l - r) <= F.greatest(F.lit(tolerance_kg), tolerance_pct / 100 * l), _outcome("match", 0.99, "the weights agree within the tolerance")),
         ],
-        _outcome("mismatch", 0.98),
+        _outcome("mismatch", 0.98, _between(_weight_text(l), " kg against ", _weight_text(r), " kg")),
     )
 
 
+def _weight_text(weight: Column) -> Column:
+    return F.when(weight == F.floor(weight), weight.cast("bigint").cast("string")).otherwise(weight.cast("string"))
+
+
 def _norm_text(s: str) -> Column:
-    weight = F.col(f"{s}.norm.weight")
-    whole = F.when(weight == F.floor(weight), weight.cast("bigint").cast("string")).otherwise(weight.cast("string"))
-    return F.coalesce(f"{s}.norm.party", f"{s}.norm.port", F.col(f"{s}.norm.count.count").cast("string"), whole)
+    return F.coalesce(f"{s}.norm.party", f"{s}.norm.port", F.col(f"{s}.norm.count.count").cast("string"), _weight_text(F.col(f"{s}.norm.weight")))
 
 
 def reconcile(
@@ -186,7 +200,8 @@ def reconcile(
     match_ratio: float = specs.PARTY_MATCH_RATIO,
     unsure_ratio: float = specs.PARTY_UNSURE_RATIO,
 ) -> DataFrame:
-    """One row per compared case and field with result, confidence, normal forms and the missing side."""
+    """One row per compared case and field with result, confidence, normal forms, the missing side and what was
+    found, in a sentence."""
     df = pair_fields(compared, standard_forms(field_values, knowledge))
     names = [F.coalesce(f"{s}.norm.party", f"{s}.norm.port") for s in ("l", "r")]
     df = Similarity(*names, match_ratio, unsure_ratio, specs.PORT_UNSURE_RATIO).add(df)
@@ -224,10 +239,29 @@ def reconcile(
         F.when(found, _norm_text("r")).alias("right_norm"),
         "missing_side",
         F.when(~found, F.concat_ws("; ", why("l", "SI"), why("r", "BL"))).alias("missing_reason"),
+        F.when(found, F.col("rule.finding")).otherwise(F.concat_ws("; ", why("l", "SI"), why("r", "BL"))).alias("finding"),
         (F.coalesce(F.col("l.method") == "ocr", F.lit(False)) | F.coalesce(F.col("r.method") == "ocr", F.lit(False))).alias("from_scan"),
     )
 
 
+def not_compared(pairs: DataFrame, field_values: DataFrame) -> DataFrame:
+    """A row per field of every check that lacks one of its two documents, in the columns of `reconcile`.
+
+    `pairs` holds case_id, si_doc, bl_doc (null where there is none). What the document at hand says stands beside, so
+    a person sees it; only the values of these checks are moved.
+    """
+    lone = pairs.where(F.col("si_doc").isNull() | F.col("bl_doc").isNull())
+    absent = F.concat_ws(" and ", F.when(F.col("si_doc").isNull(), F.lit("SI")), F.when(F.col("bl_doc").isNull(), F.lit("BL")))
+    grid = lone.select("case_id", F.explode(F.array(*[F.lit(f) for f in specs.FIELDS])).alias("field"), F.concat(F.lit("not compared for want of "), absent).alias("finding"))
+    own = field_values.join(lone.select("case_id"), "case_id", "left_semi")
+    raw = own.groupBy("case_id", "field").agg(*[F.max(F.when(F.col("side") == s, F.col("raw"))).alias(n) for s, n in (("SI", "left_value"), ("BL", "right_value"))])
+    none = F.lit(None).cast("string")
+    return grid.join(raw, ["case_id", "field"], "left").select(
+        "case_id", "field", F.lit("not_compared").alias("result"), F.lit(0.0).alias("confidence"), "left_value", "right_value",
+        none.alias("left_norm"), none.alias("right_norm"), none.alias("missing_side"), none.alias("missing_reason"), "finding", F.lit(False).alias("from_scan"),
+    )
+
+
 def apply_thresholds(results: DataFrame, limits: dict[str, float] | DataFrame | None = None, default: float = specs.FIELD_REVIEW_BELOW) -> DataFrame:
     """A match or mismatch below its field's threshold becomes unsure; the earlier result is kept beside it.
 
@@ -237,8 +271,12 @@ def apply_thresholds(results: DataFrame, limits: dict[str, float] | DataFrame |
         df = results.join(limits.select("field", F.col("review_below").alias("_limit")), "field", "left")
     else:
         df = results.withColumn("_limit", look_up(limits, F.col("field")) if limits else F.lit(None).cast("double"))
-    weak = F.col("result").isin("match", "mismatch") & (F.col("confidence") < F.coalesce("_limit", F.lit(default)))
+    limit = F.coalesce("_limit", F.lit(default))
+    weak = F.col("result").isin("match", "mismatch") & (F.col("confidence") < limit)
     df = df.withColumn("_weak", weak)
+    if "finding" in df.columns:  # why the result does not stand
+        short = _between("; sure to ", F.round(F.col("confidence") * 100).cast("int"), " %, where ", F.round(limit * 100).cast("int"), " % are asked for")
+        df = df.withColumn("finding", F.when(F.col("_weak"), F.concat("finding", short)).otherwise(F.col("finding")))
     return df.withColumn("result_before", F.when(F.col("_weak"), F.col("result"))).withColumn(
         "result", F.when(F.col("_weak"), F.lit("unsure")).otherwise(F.col("result"))
     ).drop("_limit", "_weak")
@@ -253,7 +291,8 @@ def roll_up(cases: DataFrame, results: DataFrame, reasons: DataFrame | None = No
 
     `cases` holds case_id, category_confidence and awaiting_draft; `results` comes from `apply_thresholds`,
     `reasons` from the completeness checks (case_id, reason, detail). All three meet in one aggregate by case;
-    the collected lists hold at most seven fields and a handful of reasons per case.
+    the collected lists hold at most seven fields and a handful of reasons per case. `review_detail` says what a person
+    has to look at: the reasons, else the fields that are not certain; or that a check waits for its draft.
     """
     facts = results.select(
         "case_id",
@@ -265,8 +304,9 @@ def roll_up(cases: DataFrame, results: DataFrame, reasons: DataFrame | None = No
         F.when(F.col("result") == "missing", F.lit("missing_value")).alias("reason"),
         F.when(F.col("result") == "missing", F.concat(F.col("field"), F.lit(": "), F.col("missing_reason"))).alias("detail"),
         "from_scan",
+        F.when(F.col("result") == "unsure", F.concat_ws(": ", "field", "finding") if "finding" in results.columns else F.col("field")).alias("doubt"),
     )
-    blank = {"field": "string", "result": "string", "confidence": "double", "reason": "string", "detail": "string", "from_scan": "boolean"}
+    blank = {"field": "string", "result": "string", "confidence": "double", "reason": "string", "detail": "string", "from_scan": "boolean", "doubt": "string"}
     heads = cases.select("case_id", "category_confidence", F.coalesce("awaiting_draft", F.lit(False)).alias("awaiting_draft"),
                          *[F.lit(None).cast(t).alias(n) for n, t in blank.items()])
     facts = facts.unionByName(heads)
@@ -282,6 +322,7 @@ def roll_up(cases: DataFrame, results: DataFrame, reasons: DataFrame | None = No
         F.min_by("reason", priority).alias("top_reason"),
         F.array_sort(F.collect_set(F.when(F.col("detail").isNotNull(), F.struct(priority.alias("p"), _rank(F.col("field"), specs.FIELDS).alias("o"), F.col("detail").alias("v"))))).alias("details"),
         F.array_sort(F.collect_list(F.when(F.col("result") == "mismatch", order))).alias("mismatches"),
+        F.array_sort(F.collect_list(F.when(F.col("doubt").isNotNull(), F.struct(_rank(F.col("field"), specs.FIELDS).alias("o"), F.col("doubt").alias("v"))))).alias("doubts"),
         F.coalesce(F.bool_or(F.col("result") == "unsure"), F.lit(False)).alias("any_unsure"),
         F.coalesce(F.bool_or((F.col("result") == "unsure") & F.col("from_scan")), F.lit(False)).alias("unsure_scan"),
         F.min(F.when(F.col("result").isin("match", "mismatch"), F.col("confidence"))).alias("weakest"),
@@ -298,7 +339,13 @@ def roll_up(cases: DataFrame, results: DataFrame, reasons: DataFrame | None = No
         "case_id",
         "status",
         F.when(review, F.coalesce("top_reason", F.when(F.col("unsure_scan"), F.lit("unreadable")).otherwise(F.lit("missing_value")))).alias("review_reason"),
-        F.when(review & has_reason, F.array_join(F.transform("details", lambda d: d["v"]), "; ")).alias("review_detail"),
+        first_of(
+            [
+                (waiting, F.lit("a draft is asked for, so there is nothing to compare yet")),
+                (review & has_reason, F.array_join(F.transform("details", lambda d: d["v"]), "; ")),
+                (review, F.concat(F.lit("not certain: "), F.array_join(F.transform("doubts", lambda d: d["v"]), "; "))),
+            ]
+        ).alias("review_detail"),
         F.when(F.col("status") == "MISMATCH", names).otherwise(none).alias("defect_fields"),
         F.when(review, names).otherwise(none).alias("proposed_defects"),
         case_confidence(F.col("category_confidence"), F.when(~waiting, F.col("weakest"))).alias("confidence"),

@@ -105,6 +105,29 @@ def field_reconciliation(spark, sf):
     return _results(spark, sf).select("case_id", "field", "result", "confidence", "left_norm", "right_norm", "missing_side")
 
 
+@query
+def verdict_details(spark, sf):
+    """What a person is told about every case under review."""
+    v = R.roll_up(_checks(spark, sf), _results(spark, sf))
+    return v.where(F.col("status") == "NEEDS_REVIEW").select("case_id", "review_reason", "review_detail")
+
+
+@query
+def field_findings(spark, sf):
+    """What each rule found on every field of every shipment."""
+    return _results(spark, sf).select("case_id", "field", "result", "finding")
+
+
+@query
+def uncompared_fields(spark, sf):
+    """The fields of shipments without both documents, with what the one at hand says."""
+    roles = _roles(spark, sf)
+    pairs = P.pair_documents(T.clean_body(_mail(spark, sf)).select("case_id", "message"), roles)
+    sides = roles.where(F.col("readable") & F.col("role").isNotNull()).select("case_id", F.col("role").alias("side"))
+    values = b.field_values(spark, sf).join(sides, ["case_id", "side"], "left_semi")
+    return R.not_compared(pairs, values).select("case_id", "field", "result", "left_value", "right_value", "finding")
+
+
 @query
 def verdict_counts(spark, sf):
     return R.roll_up(_checks(spark, sf), _results(spark, sf)).groupBy("status", "review_reason").agg(F.count(F.lit(1)).alias("n"))

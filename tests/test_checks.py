@@ -57,3 +57,36 @@ def test_added_reply_lines_become_templates(spark):
     df = spark.createDataFrame([row], "case_id string, kind string, status string, ai_value string, final_value string, bl_no string, oc_no string, booking string, invoice string")
     got = L.mine_reply_lines(df).collect()
     assert [(r["key"], r["value"], r["evidence_count"]) for r in got] == [("MISMATCH", "Please quote BL no. {bl_no} in your reply.", 1)]
+
+
+def test_review_details(checked):
+    detail = {r["case_id"]: r["review_detail"] for r in checked.cases.collect()}
+    assert detail["match"] is None and detail["count"] is None
+    assert detail["waits"] == "a draft is asked for, so there is nothing to compare yet"
+    assert detail["lone"] == "the draft BL was not attached"
+    assert detail["blank"] == "notify_party: SI leaves it open (“TBA”)"
+
+
+def test_every_check_has_all_fields(checked):
+    rows = checked.field_results.collect()
+    fields = {}
+    for r in rows:
+        fields.setdefault(r["case_id"], {})[r["field"]] = r
+    assert set(fields) == {c for c, *_ in CASES} and all(len(f) == 7 for f in fields.values())
+    lone = fields["lone"]["shipper"]
+    assert (lone["result"], lone["left_value"], lone["right_value"], lone["confidence"]) == ("not_compared", "ACME PAPER SDN BHD", None, 0.0)
+    assert {f: fields["waits"][f]["finding"] for f in ("shipper", "gross_weight_kg")} == dict.fromkeys(("shipper", "gross_weight_kg"), "not compared for want of SI and BL")
+    assert fields["count"]["container_count"]["finding"] == "3 containers against 4"
+    assert fields["match"]["gross_weight_kg"]["finding"] == "the weights agree"
+
+
+def test_doubts_and_thresholds_are_told(spark):
+    from concord.operators.reconcile import apply_thresholds, roll_up
+
+    rows = [("a", "container_count", "match", 0.8, None, False, "the counts agree, the sizes do not"), ("a", "shipper", "unsure", 0.5, None, False, "so so"), ("b", "shipper", "match", 0.99, None, False, "the names agree")]
+    results = spark.createDataFrame(rows, "case_id string, field string, result string, confidence double, missing_reason string, from_scan boolean, finding string")
+    weak = apply_thresholds(results, {"container_count": 0.9})
+    cases = spark.createDataFrame([("a", 0.9, False), ("b", 0.9, False)], "case_id string, category_confidence double, awaiting_draft boolean")
+    got = {r["case_id"]: (r["status"], r["review_detail"]) for r in roll_up(cases, weak).collect()}
+    told = "not certain: shipper: so so; container_count: the counts agree, the sizes do not; sure to 80 %, where 90 % are asked for"
+    assert got == {"a": ("NEEDS_REVIEW", told), "b": ("OK", None)}

@@ -89,27 +89,48 @@ def filename_role(path: Column) -> Column:
     return first_of([(matches(stem, specs.SI_FILE_ROLE), F.lit("SI")), (matches(stem, specs.BL_FILE_ROLE), F.lit("BL"))])
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with the value computed once, although lambdas inside the body read it per element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def sentences(text: Column) -> Column:
-    """Array of sentences. A piece after an abbreviation ("no.", "ref.") of the same line is joined back."""
+    """Array of sentences. A piece after an abbreviation ("no.", "ref.") of the same line is joined back.
+
+    Linear in the text: the pieces are cut into runs that end at the first piece without an abbreviation, and only
+    runs of two pieces or more are folded, each by itself.
+    """
     lines = F.split(F.coalesce(text, F.lit("")), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
-    pieces = F.flatten(
-        F.transform(lines, lambda line: F.transform(F.split(line, r"(?U)(?<=[.!?])\s+"), lambda p: F.struct(line.alias("line"), strip(p).alias("piece"))))
-    )
-    pieces = F.filter(pieces, lambda p: p["piece"] != "")
-    plain = F.transform(pieces, lambda p: p["piece"])
 
-    def step(acc: Column, p: Column) -> Column:
+    def pieces_of(line: Column, no: Column) -> Column:
+        cut = F.filter(F.transform(F.split(line, r"(?U)(?<=[.!?])\s+"), strip), lambda p: p != "")
+        return F.transform(cut, lambda p: F.struct(no.alias("line"), p.alias("piece"), matches(p, specs.ABBREVIATION).alias("short")))
+
+    def step(acc: Column, p: Column, all_lines: Column) -> Column:
         last = acc["last"]
-        joins = last.isNotNull() & matches(last, specs.ABBREVIATION) & F.contains(p["line"], last)
+        joins = last.isNotNull() & F.contains(F.get(all_lines, p["line"]), last)
         return F.struct(
             F.when(joins | last.isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(last))).alias("done"),
             F.when(joins, F.concat_ws(" ", last, p["piece"])).otherwise(p["piece"]).alias("last"),
         )
 
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("last"))
-    folded = F.aggregate(pieces, start, step, lambda acc: F.array_compact(F.concat(acc["done"], F.array(acc["last"]))))
-    # the ordered fold is only needed where some piece ends in an abbreviation
-    return F.when(F.exists(plain, lambda p: matches(p, specs.ABBREVIATION)), folded).otherwise(plain)
+
+    def folded(run: Column, all_lines: Column) -> Column:
+        return F.aggregate(run, start, lambda acc, p: step(acc, p, all_lines), lambda acc: F.concat(acc["done"], F.array(acc["last"])))
+
+    def from_runs(all_lines: Column, pieces: Column, starts: Column) -> Column:
+        def run(at: Column, k: Column) -> Column:
+            n = F.coalesce(F.get(starts, k + 1), F.size(pieces)) - at
+            return F.when(n == 1, F.array(F.get(pieces, at)["piece"])).otherwise(folded(F.slice(pieces, at + 1, n), all_lines))
+
+        return F.flatten(F.transform(starts, run))
+
+    def whole(all_lines: Column, pieces: Column) -> Column:
+        starts = F.transform(pieces, lambda p, i: F.when((i == 0) | ~F.get(pieces, i - 1)["short"], i))
+        return _let(F.array_compact(starts), lambda s: from_runs(all_lines, pieces, s))
+
+    return _let(lines, lambda ls: _let(F.flatten(F.transform(ls, pieces_of)), lambda pieces: whole(ls, pieces)))
 
 
 def diff_values(a: Column, b: Column) -> Column:

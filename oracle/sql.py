@@ -214,6 +214,20 @@ O["completeness"] = _with(b.MESSAGES, """SELECT case_id, 'wrong_doc_type' AS rea
   UNION ALL SELECT case_id, 'missing_attachment', 'the draft BL was not attached' FROM messages WHERE has_lines AND variant = 15
   UNION ALL SELECT case_id, 'missing_attachment', 'files are mentioned in the message, but it came without any' FROM messages WHERE NOT has_lines AND kind = 'claim'""")
 O["inferred_pairs"] = _with(b.DOCUMENTS, "SELECT doc_id, CASE WHEN right(doc_id, 2) = 'SI' THEN 'SI' ELSE 'BL' END AS role, right(doc_id, 2) = 'BL' AS paired FROM docs")
+# a piece joins the one before if that ends in an abbreviation and its sentence so far stands in the piece's line
+_SPACE = r"[\s\x0b\x{1c}-\x{1f}\x{85}\p{Z}]"
+_SHORT = specs.ABBREVIATION.replace("\\b", r"(?:^|[^\p{L}\p{M}\p{N}_])", 1)  # word ends beyond ASCII
+O["document_sentences"] = rf"""WITH RECURSIVE lines AS (
+    SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS ln FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]') AS l FROM documents)),
+  cut AS (SELECT doc_id, ln, line, unnest(c) AS raw, generate_subscripts(c, 1) AS pn FROM (SELECT *, string_split(regexp_replace(line, '([.!?]){_SPACE}+', '\1' || chr(1), 'g'), chr(1)) AS c FROM lines)),
+  p AS (SELECT doc_id, line, piece, row_number() OVER (PARTITION BY doc_id ORDER BY ln, pn) AS i
+    FROM (SELECT *, regexp_replace(raw, '^{_SPACE}+|{_SPACE}+$', '', 'g') AS piece FROM cut) WHERE piece <> ''),
+  q AS (SELECT *, coalesce(regexp_matches(lag(piece) OVER (PARTITION BY doc_id ORDER BY i), '(?i){_SHORT}'), false) AS after_short FROM p),
+  s AS (SELECT doc_id, i, piece AS sofar, 0 AS joined FROM q WHERE NOT after_short
+    UNION ALL
+    SELECT q.doc_id, q.i, CASE WHEN contains(q.line, s.sofar) THEN concat(s.sofar, ' ', q.piece) ELSE q.piece END, CASE WHEN contains(q.line, s.sofar) THEN 1 ELSE 0 END
+    FROM s JOIN q ON q.doc_id = s.doc_id AND q.i = s.i + 1 AND q.after_short)
+  SELECT d.doc_id, coalesce(n, 0) AS sentences FROM documents d LEFT JOIN (SELECT doc_id, count(*) - sum(joined) AS n FROM s GROUP BY doc_id) USING (doc_id)"""
 O["draft_references"] = _with(b.DOCUMENTS, ", r AS (SELECT d.doc_id, f.bl_no FROM docs d JOIN forms f ON f.case_id = d.case_id WHERE right(d.doc_id, 2) = 'BL') SELECT doc_id, bl_no AS reference FROM r")
 O["document_rows"] = """WITH l AS (SELECT doc_id, unnest(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))) AS line FROM documents WHERE regexp_matches(text, '\\S')),
   t AS (SELECT doc_id, line, regexp_replace(line, '\\s+$', '') AS s FROM l)

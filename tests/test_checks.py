@@ -1,8 +1,13 @@
 """The whole check on small hand-written messages."""
 
+import random
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
+from concord import specs
 from concord.functions.text import clean_body, sentences
 from concord.operators import learning as L
 from concord.plans.checks import check_cases
@@ -52,6 +57,35 @@ def test_sentences_keep_abbreviations(spark):
     assert df.select(sentences(F.col("t")).alias("s")).collect()[0]["s"] == ["We found it.", "Please quote BL no. MEDU123 in your reply.", "Kindly send"]
 
 
+def plain_sentences(text):
+    """The same rule, one piece after the other."""
+    out = []
+    for line in re.split(r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]", text or ""):
+        for piece in filter(None, (p.strip() for p in re.split(r"(?<=[.!?])\s+", line))):
+            if out and re.search(specs.ABBREVIATION, out[-1], re.I) and out[-1] in line:
+                out[-1] += " " + piece
+            else:
+                out.append(piece)
+    return out
+
+
+def test_sentences_against_a_plain_loop(spark):
+    rng = random.Random(4)
+    bits = ["We ask no.", "BL no. 12", "Mr. Lee!", "ref. no. co.", "Ltd.", "end.", "why?", "\n", "  ", "\r\n", "a", "e.g. this", "ref.  two"]
+    texts = [None, "", " \n ", "no.", "no. no.\nno. x"] + [" ".join(rng.choice(bits) for _ in range(rng.randint(1, 25))) for _ in range(300)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r["i"]: r["s"] for r in df.select("i", sentences(F.col("t")).alias("s")).collect()}
+    assert got == {i: plain_sentences(t) for i, t in enumerate(texts)}
+
+
+def test_sentences_of_a_long_text(spark):
+    text = " ".join(f"See no. {i} of the list. Then go on." for i in range(8000))
+    began = time.time()
+    got = spark.createDataFrame([(text,)], "t string").select(sentences(F.col("t")).alias("s")).first()["s"]
+    assert got == plain_sentences(text) and len(got) == 16000
+    assert time.time() - began < 20
+
+
 def test_added_reply_lines_become_templates(spark):
     row = ("c1", "draft", "MISMATCH", "Please amend.", "Please quote BL no. MEDU123 in your reply. Please amend.", "MEDU123", None, None, None)
     df = spark.createDataFrame([row], "case_id string, kind string, status string, ai_value string, final_value string, bl_no string, oc_no string, booking string, invoice string")

@@ -32,7 +32,7 @@ _DIGITS = re.compile(r"[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _SPELLED = re.compile(r"[\[(] ?at ?[\])] ?([A-Za-z0-9-]+(?: ?[\[(] ?dot ?[\])] ?[A-Za-z0-9-]+|\.[A-Za-z0-9-]+)+)", re.I)
-_LOGIN = re.compile(r"://[^\s/@:]{1,64}:[^\s/@]{1,128}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*")
+_LOGIN = re.compile(r"://[^\s/@:]++:[^\s/@]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*")
 _GAP = r"(?: ?(?:no|nr|number|nummer|num[eé]ro|n[uú]mero|code|card)\b\.?)?[ :#=]{0,3}"
 _IBAN = re.compile(r"IBAN" + _GAP + r"([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})", re.I)
 _SSN = re.compile(r"(?:SSN|social security)" + _GAP + r"([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])", re.I)

@@ -71,3 +71,11 @@ def test_odd_rows(docs_of):
         assert r["doc_id"] == i and r["base_sha256"] == hashlib.sha256(joined(brute(t)).encode()).hexdigest()
     assert got[4]["spans"] == "email:2:8"
     assert personal_data(docs_of([])).count() == 0
+
+
+def test_logins_of_any_length():
+    user, word = "u" * 500, "p" * 5000
+    text = f"see https://{user}:{word}@host.example.org/x and ftp://a:b@h"
+    found = [(text[s:e]) for s, kind, e in scan(text) if kind == "url_login"]
+    assert len(found) == 2 and f"{user}:{word}@host.example.org" in found[0]
+    assert not [1 for _, kind, _ in scan("://" + "a" * 100000 + ":" + "b" * 100000) if kind == "url_login"]

@@ -1,7 +1,7 @@
 """Documents to fields: lines, titles, labels, values.
 
 `doc_rows` is long: doc_id, row_index (from 0), text_no (from 0 among non-blank rows, null for blank ones), text,
-label, value, indent. A document may be very long, so nothing here groups a whole document into one task: rows are
+label, value, indent, and where known the row's place in its file: loc, value_loc, words (see `LOCATION`). A document may be very long, so nothing here groups a whole document into one task: rows are
 windowed in blocks of `BLOCK` rows that carry the few rows after them as a halo.
 """
 
@@ -20,6 +20,42 @@ from concord.operators.knowledge import active_aliases
 
 BLOCK = 1024
 ROWS_AHEAD = specs.MAX_VALUE_LINES
+#: Where something stands in its file. `kind` says which parts are set: line (from 1), bbox (page, box x0 y0 x1 y1), cell
+#: (ref is `sheet!B4`), paragraph or table (ref is its number, for a table `number/row`).
+LOCATION = "struct<kind:string,page:int,line:int,bbox:array<double>,ref:string>"
+#: Words of a row on a page, from left to right; `at` counts the characters of the row's words before, blanks left out.
+WORDS = "array<struct<at:bigint,text:string,x0:double,y0:double,x1:double,y1:double>>"
+
+
+def location(kind: str, *, page: Column | None = None, line: Column | None = None, bbox: Column | None = None, ref: Column | None = None) -> Column:
+    """A LOCATION with the parts that are known."""
+    parts = {"kind": F.lit(kind), "page": page, "line": line, "bbox": bbox, "ref": ref}
+    return F.struct(*[(F.lit(None) if c is None else c).alias(n) for n, c in parts.items()]).cast(LOCATION)
+
+
+def box_around(words: Column) -> Column:
+    """The smallest box around some words, rounded to tenths."""
+
+    def each(name: str) -> Column:
+        return F.transform(words, lambda w: w[name])
+
+    return F.array(*[F.round(c, 1) for c in (F.array_min(each("x0")), F.array_min(each("y0")), F.array_max(each("x1")), F.array_max(each("y1")))])
+
+
+def value_box(words: Column, value: Column, loc: Column) -> Column:
+    """Place of the words at the end of a row that make up its value, blanks aside; null where no word starts there."""
+    want = F.regexp_replace(value, r"(?U)\s+", "")
+    row = F.regexp_replace(F.array_join(F.transform(words, lambda w: w["text"]), ""), r"(?U)\s+", "")
+    start = F.length(row) - F.length(want)
+    tail = F.filter(words, lambda w: w["at"] >= start)
+    fits = (want != "") & F.endswith(row, want) & F.exists(words, lambda w: w["at"] == start)
+    return F.when(fits, location("bbox", page=loc["page"], bbox=box_around(tail)))
+
+
+def _with_places(doc_rows: DataFrame) -> DataFrame:
+    """Rows from a source that does not know places have null ones."""
+    missing = {n: F.lit(None).cast(t) for n, t in (("loc", LOCATION), ("value_loc", LOCATION), ("words", WORDS)) if n not in doc_rows.columns}
+    return doc_rows.withColumns(missing) if missing else doc_rows
 
 
 # ---------------------------------------------------------------- S3, T6: text to rows, document type
@@ -41,7 +77,8 @@ def docs_to_rows(docs: DataFrame, text: str = "text") -> DataFrame:
     lines = F.split(F.replace(F.col(text), F.lit("\r\n"), F.lit("\n")), "\n")
     numbered = docs.where(read_state(F.col(text)).isNull()).select("doc_id", _numbered(lines).alias("rows"))
     return numbered.select("doc_id", F.inline("rows")).select(
-        "doc_id", "row_index", "text_no", "text", F.lit(None).cast("string").alias("label"), F.lit(None).cast("string").alias("value"), "indent"
+        "doc_id", "row_index", "text_no", "text", F.lit(None).cast("string").alias("label"), F.lit(None).cast("string").alias("value"), "indent",
+        location("line", line=F.col("row_index") + 1).alias("loc"),
     )
 
 
@@ -203,7 +240,12 @@ def collect_continuations(split: DataFrame) -> DataFrame:
     line does not look like a label; a blank row ends a started value; eight lines at most (the size of an address
     block). Only non-blank rows are kept, in blocks of BLOCK with the next eight as a halo, so the window of a block
     never exceeds BLOCK + 8 rows however long the document is.
+
+    `loc` is the place of the value: its own cells or words where they are known, else the row that holds its first line
+    (the label's row when there is none). `start` and `stop` are the code points of `raw` in that row's text (from 0, end
+    exclusive), null where the row spells the value differently or there is none.
     """
+    split = _with_places(split)
     looks = F.col("field").isNotNull() | F.when(F.col("label").isNotNull() & ~F.col("indent"), F.length("label") <= 45).otherwise(
         matches(F.col("text"), r"^\s*[A-Za-z][^:：]{0,45}[:：]", PLAIN) & ~F.col("indent")
     )
@@ -212,7 +254,7 @@ def collect_continuations(split: DataFrame) -> DataFrame:
     halo = F.when((F.col("text_no") % BLOCK < ROWS_AHEAD) & (home > 0), F.array(home, home - 1)).otherwise(F.array(home))
     blocks = rows.withColumn("_home", home).withColumn("_block", F.explode(halo))
     ahead = W.partitionBy("doc_id", "_block").orderBy("text_no").rowsBetween(1, ROWS_AHEAD)
-    following = F.collect_list(F.struct("row_index", "text", "indent", F.col("_looks").alias("looks"))).over(ahead)
+    following = F.collect_list(F.struct("row_index", "text", "indent", F.col("_looks").alias("looks"), "loc")).over(ahead)
     labelled = blocks.withColumn("_next", following).where((F.col("_home") == F.col("_block")) & F.col("field").isNotNull() & ~F.col("indent"))
 
     start = F.struct(
@@ -236,7 +278,13 @@ def collect_continuations(split: DataFrame) -> DataFrame:
     df = labelled.withColumn("_v", F.aggregate("_next", start, step)).withColumn("_full", F.array_join("_v.lines", "\n"))
     first = strip(F.regexp_extract("_full", r"(?sU)^(.*?)(\n|\s+\|\s+|$)", 1))
     raw = F.when(F.col("field").isin(specs.PARTY_FIELDS), first).otherwise(F.coalesce(F.nullif("field_value", F.lit("")), first))
-    df = df.withColumn("_raw", raw)
+    below = F.get(F.filter("_next", lambda n: n["row_index"] == F.col("_v.at")), F.lit(0))
+    df = df.withColumns({"_raw": raw, "_below": below})
+    place = F.coalesce("value_loc", value_box(F.col("words"), F.col("field_value"), F.col("loc")), "_below.loc", "loc")
+    held = F.coalesce("_below.text", "text")
+    said = F.when(F.col("_below").isNull(), F.col("field_value")).otherwise(strip(F.col("_below.text")))
+    start = F.when((F.col("_raw") != "") & F.endswith(held, said) & F.startswith(said, F.col("_raw")), F.length(held) - F.length(said))
+    df = df.withColumns({"_loc": place, "_start": start})
     return df.select(
         "doc_id",
         "field",
@@ -248,6 +296,9 @@ def collect_continuations(split: DataFrame) -> DataFrame:
         "confidence",
         "method",
         is_blank(F.col("_raw")).alias("blank"),
+        F.col("_loc").alias("loc"),
+        F.col("_start").alias("start"),
+        (F.col("_start") + F.length("_raw")).alias("stop"),
     )
 
 
@@ -266,7 +317,7 @@ def best_candidate(candidates: DataFrame) -> DataFrame:
     """One value per document and field: filled before blank, a weight labelled total first, then first in the document."""
     total = (F.col("field") == "gross_weight_kg") & matches(F.coalesce("label", F.lit("")), r"\btotal\b")
     rank = F.struct(F.col("blank").cast("int"), (~total).cast("int"), F.col("label_row"))
-    kept = ["raw", "full", "label", "row_index", "confidence", "method", "blank"]
+    kept = ["raw", "full", "label", "row_index", "confidence", "method", "blank", *[c for c in ("loc", "start", "stop") if c in candidates.columns]]
     best = candidates.groupBy("doc_id", "field").agg(F.min_by(F.struct(*kept), rank).alias("b")).select("doc_id", "field", "b.*")
     return best.withColumn("confidence", F.when(F.col("blank"), F.least("confidence", F.lit(0.9))).otherwise(F.col("confidence")))
 

@@ -362,9 +362,9 @@ def document_rows(spark, sf):
 
 @query
 def extracted_fields(spark, sf):
-    """E1-E4 on rendered documents; the oracle knows the values from before they were rendered."""
+    """E1-E4 on rendered documents, each value with its line and characters; the oracle knows the values from before they were rendered."""
     v = E.extract_fields(E.docs_to_rows(_docs(spark, sf)), None, B.seed_knowledge(spark))
-    return v.select("doc_id", "field", "raw", "blank", F.round("confidence", 3).alias("confidence"))
+    return v.select("doc_id", "field", "raw", "blank", F.round("confidence", 3).alias("confidence"), F.col("loc.kind").alias("place"), F.col("loc.line").alias("line"), "start", "stop")
 
 
 @query
@@ -394,10 +394,9 @@ def scan_confidence(spark, sf):
 
 @query
 def value_context(spark, sf):
-    """Rows around the discharge port."""
+    """The rows around every extracted value of both documents."""
     rows = E.docs_to_rows(_docs(spark, sf))
-    at = rows.where(F.startswith("text", F.lit("POD:"))).select("doc_id", F.lit("port_of_discharge").alias("field"), "row_index")
-    return E.value_context(at, rows).select("doc_id", "field", "row_index", "text", "hit")
+    return E.value_context(E.extract_fields(rows, None, B.seed_knowledge(spark)), rows).select("doc_id", "field", "row_index", "text", "hit")
 
 
 @query
@@ -425,10 +424,12 @@ def value_overrides(spark, sf):
 
 @query
 def grounded_values(spark, sf):
-    """Every document's own middle as a proposal, next to the first words of the next benchmark item."""
+    """The middle half of every document as its own proposal, next to the whole benchmark item of the same number."""
     t = b.load(spark, sf, "documents", "benchmark")
-    own = t["documents"].select("doc_id", F.lit("shipper").alias("field"), F.lower(F.substring_index("text", ".", 1)).alias("value"))
-    other = t["benchmark"].select(F.col("item_id").alias("doc_id"), F.lit("consignee").alias("field"), F.substring_index("text", " ", 3).alias("value"))
+    size = F.length("text")
+    middle = F.substring("text", F.floor(size / 4).cast("int") + 1, F.ceil(size / 2).cast("int"))
+    own = t["documents"].select("doc_id", F.lit("shipper").alias("field"), F.lower(middle).alias("value"))
+    other = t["benchmark"].select(F.col("item_id").alias("doc_id"), F.lit("consignee").alias("field"), F.col("text").alias("value"))
     return E.verify_grounded(own.unionByName(other), t["documents"]).select("doc_id", "field", "grounded", "confidence")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from concord.functions.regex import first_of
+from concord.operators.extract import box_around, location
 
 # the file layout of an inbox (fixed): one JSON object per message
 MESSAGE_JSON = "email_id string, `from` string, subject string, body string, attachments array<string>"
@@ -108,6 +109,7 @@ def layout_rows(words: DataFrame, seg_gap: float = 10.0) -> DataFrame:
     A word opens a new line when its centre lies further below the line's *first* word than its tolerance, so the
     lines of a run depend on each other. But a word further below its predecessor than that always opens one: the
     page is cut at those sure breaks with window functions, and only the words between two breaks are folded.
+    Each row has the box of its words as `loc`, that of its value as `value_loc` where it has two parts or more, and its words.
     """
     page, run = ["doc_id", "page"], ["doc_id", "page", "run"]
     yc, tol = (F.col("y0") + F.col("y1")) / 2, F.greatest(F.lit(3.0), (F.col("y1") - F.col("y0")) * 0.45)
@@ -130,9 +132,11 @@ def layout_rows(words: DataFrame, seg_gap: float = 10.0) -> DataFrame:
     across = W.partitionBy(*line).orderBy("x0", "word_no")
     gap = F.coalesce((F.col("x0") - F.lag("x1").over(across) > seg_gap).cast("int"), F.lit(0))
     placed = placed.withColumn("_g", gap).withColumn("seg", F.sum("_g").over(across))
-    piece = F.struct("x0", "word_no", "seg", "text")
+    letters = F.length(F.regexp_replace("text", r"(?U)\s+", ""))
+    placed = placed.withColumn("at", F.coalesce(F.sum(letters).over(across.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    piece = F.struct("x0", "word_no", "seg", "text", "at", "y0", "x1", "y1")
     rows = placed.groupBy(*line).agg(
-        F.array_sort(F.collect_list(piece)).alias("ws"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"),
+        F.array_sort(F.collect_list(piece)).alias("ws"), F.min("x0").alias("x0"),
         F.first("margin").alias("margin"), F.max("seg").alias("last"),
     )
     cells = F.transform(F.sequence(F.lit(0), F.col("last").cast("int")), lambda s: F.array_join(F.transform(F.filter("ws", lambda w: w["seg"] == s), lambda w: w["text"]), " "))
@@ -152,5 +156,7 @@ def layout_rows(words: DataFrame, seg_gap: float = 10.0) -> DataFrame:
         F.when(two, F.element_at("cells", 1)).alias("label"),
         F.when(two, F.array_join(F.slice("cells", 2, F.size("cells")), " ")).alias("value"),
         (F.col("x0") > F.col("margin") + 40).alias("indent"),
-        F.struct(F.lit("bbox").alias("kind"), F.col("page"), F.array(*[F.round(c, 1) for c in ("x0", "y0", "x1", "y1")]).alias("bbox")).alias("loc"),
+        location("bbox", page=F.col("page"), bbox=box_around(F.col("ws"))).alias("loc"),
+        F.when(two, location("bbox", page=F.col("page"), bbox=box_around(F.filter("ws", lambda w: w["seg"] > 0)))).alias("value_loc"),
+        F.transform("ws", lambda w: F.struct(*[w[n].alias(n) for n in ("at", "text", "x0", "y0", "x1", "y1")])).alias("words"),
     )

@@ -232,11 +232,21 @@ O["draft_references"] = _with(b.DOCUMENTS, ", r AS (SELECT d.doc_id, f.bl_no FRO
 O["document_rows"] = """WITH l AS (SELECT doc_id, unnest(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))) AS line FROM documents WHERE regexp_matches(text, '\\S')),
   t AS (SELECT doc_id, line, regexp_replace(line, '\\s+$', '') AS s FROM l)
   SELECT doc_id, count(*) AS rows, count(*) FILTER (WHERE s <> '') AS filled, CAST(sum(length(s)) AS BIGINT) AS chars, count(*) FILTER (WHERE regexp_matches(line, '^(\\s{2,}|\\t)\\S')) AS indented FROM t GROUP BY 1"""
-O["extracted_fields"] = _with(b.FIELD_TABLE, """, d AS (SELECT f.case_id, f.side, f.field, f.raw, s.variant FROM field_table f JOIN forms s ON s.case_id = f.case_id WHERE s.has_lines AND NOT (f.side = 'BL' AND s.variant = 15))
-  SELECT concat(case_id, '/', side) AS doc_id, field, raw, (raw = 'TBA' OR contains(raw, '___')) AS blank, CAST(CASE WHEN raw = 'TBA' OR contains(raw, '___') THEN 0.9 ELSE 0.98 END AS DOUBLE) AS confidence FROM d""")
-O["value_context"] = _with(b.FORMS, """, r AS (SELECT concat(case_id, '/SI') AS doc_id, unnest([9, 10, 11, 12, 13, 14]) AS row_index,
-    unnest([si_notify, concat('Port of Loading (POL): ', si_pol), concat('POD: ', si_pod), concat('No. of Containers: ', si_count), 'Net Weight (kgs): 1', concat('Gross Wt (kgs): ', si_weight)]) AS text FROM forms WHERE has_lines)
-  SELECT doc_id, 'port_of_discharge' AS field, row_index, text, row_index = 11 AS hit FROM r""")
+# the rendered lines of the two documents: (side, field, line from 1, what stands before the value on it)
+_LINES = [
+    ("SI", "shipper", 4, "Shipper/Exporter: "), ("SI", "consignee", 7, "Consignee (Non-Negotiable): "), ("SI", "notify_party", 10, ""), ("SI", "port_of_loading", 11, "Port of Loading (POL): "),
+    ("SI", "port_of_discharge", 12, "POD: "), ("SI", "container_count", 13, "No. of Containers: "), ("SI", "gross_weight_kg", 15, "Gross Wt (kgs): "),
+    ("BL", "shipper", 4, "SHIPPER: "), ("BL", "consignee", 6, "To the Order of: "), ("BL", "notify_party", 9, "Notify Party/Intermediate Consignee: "), ("BL", "port_of_loading", 10, "Load Port: "),
+    ("BL", "port_of_discharge", 11, "Discharge Port: "), ("BL", "container_count", 12, "Container Count: "), ("BL", "gross_weight_kg", 14, "Gross Weight (KG): "),
+]
+_PLACES = "places AS (SELECT * FROM (VALUES " + ", ".join(f"('{s}', '{f}', {n}, '{before}')" for s, f, n, before in _LINES) + ") AS v(side, field, line, label_text))"
+O["extracted_fields"] = _with(b.FIELD_TABLE, f""", {_PLACES}, d AS (SELECT f.case_id, f.side, f.field, f.raw, s.variant FROM field_table f JOIN forms s ON s.case_id = f.case_id WHERE s.has_lines AND NOT (f.side = 'BL' AND s.variant = 15))
+  SELECT concat(case_id, '/', d.side) AS doc_id, d.field, raw, (raw = 'TBA' OR contains(raw, '___')) AS blank, CAST(CASE WHEN raw = 'TBA' OR contains(raw, '___') THEN 0.9 ELSE 0.98 END AS DOUBLE) AS confidence,
+    'line' AS place, p.line, length(label_text) AS start, length(label_text) + length(raw) AS stop
+  FROM d JOIN places p ON p.side = d.side AND p.field = d.field""")
+O["value_context"] = _with(b.DOCUMENTS, f""", {_PLACES}, l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10))))) AS row_index FROM docs)
+  SELECT l.doc_id, p.field, l.row_index, l.text, l.row_index = p.line - 1 AS hit
+  FROM l JOIN places p ON right(l.doc_id, 2) = p.side AND l.row_index BETWEEN p.line - 3 AND p.line + 2 WHERE trim(l.text) <> ''""")
 O["missing_fields"] = _with(b.FORMS, """, m AS (SELECT case_id, unnest(['SI', 'BL']) AS side FROM forms WHERE NOT has_lines)
   SELECT concat(case_id, '/', side) AS doc_id, unnest(['shipper', 'port_of_loading']) AS field FROM m""")
 O["scan_confidence"] = _with(b.MESSAGES, """, d AS (SELECT s.side, m.starred, m.has_lines AND NOT (s.side = 'BL' AND m.variant = 15) AS there, unnest(CASE WHEN m.has_lines THEN range(7) ELSE range(5) END) AS i
@@ -244,8 +254,8 @@ O["scan_confidence"] = _with(b.MESSAGES, """, d AS (SELECT s.side, m.starred, m.
   SELECT CASE WHEN starred AND there THEN 'ocr' ELSE 'rule' END AS method, CASE WHEN starred AND there THEN 0.784 ELSE 0.98 END::DOUBLE AS confidence, count(*) AS n FROM d GROUP BY 1, 2""")
 O["carriers"] = _with(b.FORMS, """SELECT case_id, CASE WHEN variant = 3 THEN CASE WHEN segment = 'building' THEN 'Maersk' END
   ELSE CASE prefix WHEN 'MEDU' THEN 'MSC' WHEN 'OOLU' THEN 'OOCL' WHEN 'MAEU' THEN 'Maersk' WHEN 'SINF' THEN 'ONE' WHEN 'EGLV' THEN 'Evergreen' WHEN 'SIN2' THEN 'PIL' ELSE 'CMA CGM' END END AS carrier FROM forms""")
-O["grounded_values"] = """WITH p AS (SELECT doc_id, 'shipper' AS field, lower(split_part(text, '.', 1)) AS value FROM documents
-  UNION ALL SELECT item_id, 'consignee', array_to_string(string_split(text, ' ')[1:3], ' ') FROM benchmark)
+O["grounded_values"] = """WITH p AS (SELECT doc_id, 'shipper' AS field, lower(substr(text, CAST(floor(length(text) / 4) AS BIGINT) + 1, CAST(ceil(length(text) / 2) AS BIGINT))) AS value FROM documents
+  UNION ALL SELECT item_id, 'consignee', text FROM benchmark)
   SELECT p.doc_id, p.field, contains(lower(d.text), lower(trim(p.value, E' \t\n\r'))) AS grounded, CASE WHEN contains(lower(d.text), lower(trim(p.value, E' \t\n\r'))) THEN 0.8 ELSE 0.4 END::DOUBLE AS confidence
   FROM p JOIN documents d ON d.doc_id = p.doc_id WHERE trim(p.value, E' \t\n\r') <> ''"""
 O["value_overrides"] = _with(b.CORRECTIONS + ", " + b.FIELD_TABLE[len(b.FORMS):].lstrip(", ").lstrip(), """, ov AS (SELECT case_id, 'BL' AS side, field, arg_max(final_value, id) AS v FROM corrections WHERE kind = 'field_value' GROUP BY case_id, field)

@@ -2,7 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from concord.operators.extract import BLOCK, collect_continuations, docs_to_rows, split_rows
+from concord.operators.extract import BLOCK, collect_continuations, docs_to_rows, location, split_rows
 from concord.sources.inbox import attachment_list, layout_rows, read_attachments, read_messages, sniff_format, text_documents
 from concord.streaming.ingest import current_board, start_ingest
 from concord.sources.inbox import stream_messages
@@ -57,3 +57,47 @@ def test_stream_fills_the_board(spark, tmp_path):
     start_ingest(stream_messages(spark, path), load, board, str(tmp_path / "cp")).awaitTermination()
     assert [(r["case_id"], r["status"]) for r in current_board(spark, board).collect()] == [("email_0", "OK")]
     assert attachment_list(read_messages(spark, path)).count() == 2
+
+
+def _boxes(spark, words):
+    rows = [(d, p, i, float(x0), float(y0), float(x1), float(y1), t) for i, (d, p, x0, y0, x1, y1, t) in enumerate(words)]
+    return layout_rows(spark.createDataFrame(rows, "doc_id string, page int, word_no int, x0 double, y0 double, x1 double, y1 double, text string"))
+
+
+def test_rows_and_values_know_their_boxes(spark):
+    """A value in a column of its own, one after a colon on the same line, and one printed below its label."""
+    words = [
+        ("d", 0, 10, 10, 40, 20, "Load"), ("d", 0, 42, 10.04, 60, 20, "Port"), ("d", 0, 120, 11, 160, 21, "PORT"), ("d", 0, 163, 11, 200, 21.06, "KLANG"),
+        ("d", 0, 10, 30, 50, 40, "Shipper:"), ("d", 0, 53, 30, 80, 40, "ACME"), ("d", 0, 83, 30.5, 99, 41, "LTD"),
+        ("d", 1, 10, 10, 60, 20, "Consignee:"), ("d", 1, 10, 25, 40, 35, "BUYER"), ("d", 1, 43, 25, 60, 35, "LLC"),
+    ]
+    rows = _boxes(spark, words)
+    first = rows.where("row_index = 0").select("loc.*", "value_loc.bbox").collect()[0]
+    assert (first[0], first[1], first[3], first[5]) == ("bbox", 0, [10.0, 10.0, 200.0, 21.1], [120.0, 11.0, 200.0, 21.1])
+    got = {r["field"]: (r["raw"], r["loc"]["page"], r["loc"]["bbox"]) for r in collect_continuations(split_rows(rows)).collect()}
+    assert got == {
+        "port_of_loading": ("PORT KLANG", 0, [120.0, 11.0, 200.0, 21.1]),
+        "shipper": ("ACME LTD", 0, [53.0, 30.0, 99.0, 41.0]),
+        "consignee": ("BUYER LLC", 1, [10.0, 25.0, 60.0, 35.0]),
+    }
+
+
+def test_values_know_their_line_and_characters(spark):
+    text = "Shipper:  ACME LTD | UNIT 4  \n  LINE 1\n\nNotify:\n\n  BUYER LLC\nPOD:\n"
+    docs = spark.createDataFrame([("d", text)], "doc_id string, text string")
+    got = {r["field"]: r for r in collect_continuations(split_rows(docs_to_rows(docs))).collect()}
+    lines = text.split("\n")
+    for field, line, raw in (("shipper", 1, "ACME LTD"), ("notify_party", 6, "BUYER LLC")):
+        r = got[field]
+        assert (r["loc"]["kind"], r["loc"]["line"], r["raw"]) == ("line", line, raw) and lines[line - 1][r["start"] : r["stop"]] == raw
+    assert (got["port_of_discharge"]["loc"]["line"], got["port_of_discharge"]["start"], got["port_of_discharge"]["stop"]) == (7, None, None)
+
+
+def test_supplied_places_are_kept(spark):
+    """Rows of a sheet bring their cells; rows without places give null ones."""
+    row = "doc_id string, row_index int, text_no int, text string, label string, value string, indent boolean"
+    cell = location("cell", ref=F.lit("Form!A2"))
+    df = spark.createDataFrame([("s", 0, 0, "Shipper   ACME LTD", "Shipper", "ACME LTD", False)], row)
+    with_cells = df.withColumns({"loc": cell, "value_loc": location("cell", ref=F.lit("Form!B2"))})
+    assert [r["loc"]["ref"] for r in collect_continuations(split_rows(with_cells)).collect()] == ["Form!B2"]
+    assert [(r["raw"], r["loc"], r["start"]) for r in collect_continuations(split_rows(df)).collect()] == [("ACME LTD", None, 10)]

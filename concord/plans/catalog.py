@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from concord import specs
 from concord.functions import text as T
 from concord.functions import values as N
+from concord.functions.similarity import Similarity, indel_ratio
 from concord.operators import analytics as A
 from concord.operators import boards as S
 from concord.operators import cases as Q
@@ -220,10 +221,10 @@ def folded_text(spark, sf):
 def similar_customers(spark, sf):
     """Exact indel similarity of the draft's consignee to the instruction's."""
     f = b.forms(spark, sf).select("case_id", N.party_norm(F.col("si_consignee")).alias("l"), N.party_norm(F.col("bl_consignee")).alias("r"))
-    from concord.functions.similarity import indel_ratio, ratio_at_least
-
-    hi, lo = ratio_at_least(F.col("l"), F.col("r"), 0.94, 0.85)
-    return f.select("case_id", F.round(indel_ratio(F.col("l"), F.col("r")), 6).alias("ratio"), hi.alias("same"), lo.alias("close"))
+    tests = Similarity(F.col("l"), F.col("r"), 0.94, 0.85)
+    return tests.add(f).select(
+        "case_id", F.round(indel_ratio(F.col("l"), F.col("r")), 6).alias("ratio"), tests.at_least(0.94).alias("same"), tests.at_least(0.85).alias("close")
+    )
 
 
 # ---------------------------------------------------------------- text

@@ -184,6 +184,16 @@ O["standard_weights"] = _variants("('gross_weight_kg')", f"CASE WHEN contains(ra
 # the documents' accents are Latin letters with one base letter each, so the twin uses the engine's own accent stripper
 O["folded_text"] = "SELECT doc_id, CAST(length(upper(strip_accents(replace(text, 'ß', 'SS')))) AS BIGINT) AS n_chars, md5(upper(strip_accents(replace(text, 'ß', 'SS')))) AS digest FROM documents"
 
+# LCS of l and r by the textbook table, one row a letter of l: a cell is the largest of those up to it that the row above allows
+_LCS_ROWS = """list_transform(string_split(l, ''), lambda x: list_transform(string_split(r, ''), lambda y: CASE WHEN x = y THEN 1 ELSE 0 END))"""
+_LCS_CELL = "greatest(above[k], CASE WHEN hits[k] = 1 THEN 1 + CASE WHEN k > 1 THEN above[k - 1] ELSE 0 END ELSE 0 END)"
+_LCS = f"""list_max(list_reduce({_LCS_ROWS}, lambda above, hits: list_transform(range(1, len(hits) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k: {_LCS_CELL}))),
+  list_transform(string_split(r, ''), lambda y: 0)))"""
+O["similar_customers"] = _with(b.FORMS, f""", p AS (SELECT case_id, {party('si_consignee')} AS l, {party('bl_consignee')} AS r FROM forms),
+  q AS (SELECT case_id, CASE WHEN l = r THEN 1.0 WHEN l = '' OR r = '' THEN 0.0 ELSE 2.0 * {_LCS} / (length(l) + length(r)) END::DOUBLE AS x FROM p)
+  SELECT case_id, round(x, 6) AS ratio, x >= 0.94 - 1e-9 AS same, x >= 0.85 - 1e-9 AS close FROM q""")
+
+
 # ---------------------------------------------------------------- text
 
 O["message_parts"] = _with(b.MESSAGES, "SELECT case_id, said AS message, trim(sign_off) AS signature, thread AS quoted, banner_text AS banner FROM messages")

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from concord.functions import values as N
@@ -42,10 +44,20 @@ def test_order_only(one):
     assert one(N.is_order_only, "To Order of Shipper") and one(N.is_order_only, "TO ORDER") and not one(N.is_order_only, "TO THE ORDER OF X")
 
 
-@pytest.mark.parametrize("a,b", [("ROXCEL TRADING GMBH", "ROXCEL TRADING"), ("ACME PAPER", "ACME PAPRE"), ("A" * 70, "A" * 69 + "B"), ("ABCXYZ" * 12, "BXZAYC" * 13), ("", "A")])
+@pytest.mark.parametrize("a,b", [("ROXCEL TRADING GMBH", "ROXCEL TRADING"), ("ACME PAPER", "ACME PAPRE"), ("A" * 70, "A" * 69 + "B"), ("ABCXYZ" * 12, "BXZAYC" * 13), ("", "A"),
+                                 ("AB" * 60, "BA" * 61), ("é日A" * 50, "日Aé" * 43), ("X" * 121, "Y" * 61), ("A" * 59, "A" * 120)])
 def test_ratio_against_the_textbook_table(one, a, b):
     table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):
         for j, y in enumerate(b):
             table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
     assert one(indel_ratio, a, b) == pytest.approx(2 * table[-1][-1] / (len(a) + len(b)))
+
+
+def test_long_values_take_seconds(one):
+    """5,000 letters against 5,000: a run cut out in the middle and another letter at every hundredth place."""
+    a = "".join(chr(65 + (i * i // 7 + i) % 26) for i in range(5000))
+    b = "".join("#" if i % 100 == 99 else c for i, c in enumerate(a) if not 2000 <= i < 2200)
+    began = time.monotonic()
+    assert one(indel_ratio, a, b) == pytest.approx(2 * (4800 - 48) / 9800)
+    assert time.monotonic() - began < 30

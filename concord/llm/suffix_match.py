@@ -1,8 +1,9 @@
 """Benchmark decontamination by training suffix arrays (operator 3).
 
 The words of a slice of documents form a shard; its suffix array is binary-searched for every suffix of the benchmark
-items: the range of suffixes that start with a window gives all its verbatim places, and the longest match of a suffix is
-found inside that range. Words that no item of the block holds are one number that matches nothing, and a suffix that
+items: the range of suffixes that start with a window gives all its verbatim places, and the place of a whole suffix inside
+that range is where its longest match stands. The longest match at a place of a document is shared with the test suffix next
+below or next above it, so the same search gives each document's longest match and its first word. Words that no item of the block holds are one number that matches nothing, and a suffix that
 meets such a word before the shortest window ends is left out of the array: it can start no match. The array is sorted as
 deep as the longest item.
 
@@ -64,6 +65,11 @@ class Block:
         self.suffixes = np.array(left, np.int64).reshape(-1, 3)  # window, start, words to the item's end
         self.depth = int(self.suffixes[:, 2].max()) if len(left) else 0
         self.shortest = int(self.size.min()) if len(first) else 0
+        self.window = window
+        row = np.full(len(self.words) + 1, -1)
+        row[self.suffixes[:, 1]] = np.arange(len(left))
+        order = row[Shard(lists, self).array]  # the items laid end to end as a shard of their own have the same positions
+        self.sorted = self.suffixes[order[order >= 0]]
 
 
 class Shard:
@@ -154,15 +160,28 @@ class Shard:
         for k, n, d, p in zip(own.tolist(), best.tolist(), doc.tolist(), (place - self.starts[doc]).tolist()):
             yield (*block.places[k], n, d, p)
 
-    def hits(self, block: Block) -> tuple[list[list[dict]], list[list[str]]]:
-        """Hit word ranges and listed items of each document."""
+    def reach(self, block: Block, lo: np.ndarray, hi: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Words that the suffix at each place of the array shares with some test suffix, at most: with its neighbours among
+        them in sorted order."""
+        which, start, size = block.sorted.T
+        at = self.bound(block.words, start, size, lo[which], hi[which], False)
+        best, after = np.zeros(len(place), np.int64), np.searchsorted(at, place, "right")
+        for near in (after - 1, after):
+            ok = np.flatnonzero((near >= 0) & (near < len(at)))
+            _, shared = self.compare(self.array[place[ok]], block.words, start[near[ok]], size[near[ok]])
+            best[ok] = np.maximum(best[ok], shared)
+        return best
+
+    def hits(self, block: Block) -> tuple[list[list[dict]], list[list[str]], list[dict | None]]:
+        """Hit word ranges, listed items and longest match (words, first word) of each document."""
         n = len(self.starts)
         spans: list[list[dict]] = [[] for _ in range(n)]
         items: list[list[str]] = [[] for _ in range(n)]
+        longest: list[dict | None] = [None] * n
         lo, hi = self.ranges(block)
         found = np.flatnonzero(hi > lo)
         if not len(found):
-            return spans, items
+            return spans, items, longest
         many = (hi - lo)[found]
         window = np.repeat(found, many)
         begin = np.repeat(lo[found] - (np.cumsum(many) - many), many) + np.arange(many.sum())
@@ -182,7 +201,13 @@ class Shard:
             listed.setdefault(d, set()).update(block.names[i] for i in block.window_items[w] if block.names[i] is not None)
         for d, names in listed.items():
             items[d] = sorted(names)
-        return spans, items
+        size = self.reach(block, lo, hi, begin)
+        size = np.where(size >= block.window, size, block.size[window])  # below a full window only whole items count
+        doc = np.searchsorted(self.starts, at, "right") - 1
+        best = np.lexsort((at, -size, doc))
+        for k in best[np.flatnonzero(np.diff(doc[best], prepend=-1))].tolist():
+            longest[doc[k]] = {"words": int(size[k]), "back": int(self.starts[doc[k]] - at[k])}
+        return spans, items, longest
 
 
 def blocks_of(benchmark: DataFrame, *, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> Iterator[Broadcast]:
@@ -199,17 +224,21 @@ def blocks_of(benchmark: DataFrame, *, id_col: str = "item_id", text_col: str =
 def _pass(block: Broadcast, k: int):
     def run(texts: list[bytes]) -> dict:
         lists = [words(t) for t in texts]
-        spans, items = Shard(lists, block.value).hits(block.value)
-        return {f"n{k}": [len(w) for w in lists], f"s{k}": spans, f"i{k}": items}
+        spans, items, longest = Shard(lists, block.value).hits(block.value)
+        return {f"n{k}": [len(w) for w in lists], f"s{k}": spans, f"i{k}": items, f"l{k}": longest}
 
     return run
 
 
 def contamination(rows: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """rows (text, ...) with n_words, spans, n_hit, items added and the text kept."""
+    """rows (text, ...) with n_words, spans, n_hit, items, longest, longest_at added and the text kept.
+
+    longest is the number of words of the longest verbatim match that holds a window, longest_at its first word (of equal
+    ones the first in the document); both null where nothing is hit.
+    """
     names, n = rows.columns, 0
     for n, block in enumerate(blocks_of(benchmark, **how), 1):
-        rows = map_text(rows, _pass(block, n), f"n{n} long, s{n} array<struct<start:int,end:int>>, i{n} array<string>", keep_text=True)
+        rows = map_text(rows, _pass(block, n), f"n{n} long, s{n} array<struct<start:int,end:int>>, i{n} array<string>, l{n} struct<words:long,back:long>", keep_text=True)
     spans = F.array_sort(F.concat(*[F.col(f"s{k}") for k in range(1, n + 1)]))
     state = F.struct(F.lit(0).alias("until"), F.lit(0).cast("long").alias("n"))
 
@@ -218,7 +247,11 @@ def contamination(rows: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
         return F.struct(F.greatest(acc["until"], x["end"]).alias("until"), (acc["n"] + new).alias("n"))
 
     items = F.array_sort(F.array_distinct(F.concat(*[F.col(f"i{k}") for k in range(1, n + 1)])))
-    return rows.select(*names, F.col("n1").alias("n_words"), spans.alias("spans"), F.aggregate(spans, state, step)["n"].alias("n_hit"), items.alias("items"))
+    longest = F.array_max(F.array(*[F.col(f"l{k}") for k in range(1, n + 1)]))  # back counts from the place to the start: larger is earlier
+    return rows.select(
+        *names, F.col("n1").alias("n_words"), spans.alias("spans"), F.aggregate(spans, state, step)["n"].alias("n_hit"), items.alias("items"),
+        longest["words"].alias("longest"), (-longest["back"]).alias("longest_at"),
+    )
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", **how) -> DataFrame:
@@ -263,6 +296,7 @@ def op3_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
+        "longest", "longest_at",
     )
 
 
@@ -272,16 +306,20 @@ _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRS
 ORACLES = {
     "op3_suffix_decontamination": rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
-b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+b AS (SELECT row_number() OVER () AS t, item_id, {_WORDS} AS w FROM benchmark),
 lens AS (SELECT DISTINCT least(10, len(w)) AS n FROM b WHERE len(w) > 0),
-bw AS (SELECT DISTINCT item_id, n, array_to_string(w[p + 1 : p + n], ' ') AS x
-       FROM (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(len(w) - least(10, len(w)) + 1)) AS p FROM b WHERE len(w) > 0)),
+bw AS (SELECT t, item_id, n, p AS q, array_to_string(w[p + 1 : p + n], ' ') AS x
+       FROM (SELECT t, item_id, w, least(10, len(w)) AS n, unnest(range(len(w) - least(10, len(w)) + 1)) AS p FROM b WHERE len(w) > 0)),
 dw AS (SELECT r, n, p, array_to_string(w[p + 1 : p + n], ' ') AS x
        FROM (SELECT r, w, n, unnest(range(len(w) - n + 1)) AS p FROM d, lens WHERE len(w) >= n)),
-m AS (SELECT r, item_id, p, n FROM dw JOIN bw USING (n, x)),
+m AS (SELECT r, t, item_id, p, q, n FROM dw JOIN bw USING (n, x)),
+runs AS (SELECT r, min(p) AS first_word, count(*) + min(n) - 1 AS size
+         FROM (SELECT *, p - row_number() OVER (PARTITION BY r, t, p - q ORDER BY p) AS g FROM m) GROUP BY r, t, p - q, g),
+best AS (SELECT r, max(size) AS longest, arg_min(first_word, {{'a': -size, 'b': first_word}}) AS longest_at FROM runs GROUP BY r),
 h AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS q FROM m) GROUP BY r),
 i AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS s FROM m GROUP BY r)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-       sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h USING (r) LEFT JOIN i USING (r)"""
+       sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+       longest, longest_at
+FROM d LEFT JOIN h USING (r) LEFT JOIN i USING (r) LEFT JOIN best USING (r)"""
 }

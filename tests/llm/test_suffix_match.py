@@ -13,7 +13,7 @@ def split(text):
 
 
 def brute(docs, items):
-    windows = {}
+    windows, lists = {}, [split(text) for _, text in items]
     for name, text in items:
         w = split(text)
         n = min(10, len(w))
@@ -30,17 +30,33 @@ def brute(docs, items):
                     hit.update(range(p, p + n))
                     found |= names
         found = sorted(str(x) for x in found if x is not None)
-        out.append((i, len(w), len(hit), len(found), hashlib.sha256(",".join(found).encode()).hexdigest(), bool(hit)))
+        best, at = max(((n, -p) for x in lists for n, p in matches(w, x)), default=(None, None))
+        out.append((i, len(w), len(hit), len(found), hashlib.sha256(",".join(found).encode()).hexdigest(), bool(hit), best, None if at is None else -at))
     return sorted(out, key=str)
 
 
+def matches(w, item):
+    """(words, start) of every maximal common stretch of a document and an item that holds a window of the item."""
+    least = min(10, len(item))
+    for shift in range(-len(item), len(w)) if item else ():
+        run = 0
+        for q in range(len(item) + 1):
+            p = q + shift
+            if q < len(item) and 0 <= p < len(w) and w[p] == item[q]:
+                run += 1
+                continue
+            if run >= least:
+                yield run, p - run
+            run = 0
+
+
 def rows(df):
     return sorted((tuple(r) for r in df.collect()), key=str)
 
 
 def result(docs, bench, **how):
     f = contamination(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), bench, **how)
-    return rows(f.select("doc_id", "n_words", "n_hit", F.size("items"), F.sha2(F.array_join("items", ","), 256), F.col("n_hit") > 0))
+    return rows(f.select("doc_id", "n_words", "n_hit", F.size("items"), F.sha2(F.array_join("items", ","), 256), F.col("n_hit") > 0, "longest", "longest_at"))
 
 
 def pairs(spark, sf, name, key):
@@ -67,7 +83,7 @@ def test_random_small_alphabet_in_one_and_many_blocks(spark, docs_of):
 
 
 def test_stage_drops_affected_documents_only(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("n_hit", F.lit("x"))
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("n_hit", F.lit("x")).withColumn("longest", F.lit(1))
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
     bad = {r[0] for r in brute(pairs(spark, sf, "documents", "doc_id"), pairs(spark, sf, "benchmark", "item_id")) if r[5]}
     kept = decontaminated(docs, bench)

@@ -1,11 +1,11 @@
 """WARC archives as chunked record tables (operator 4).
 
-A payload becomes rows (record, chunk number, chunk) of at most `chunk_chars` characters, each with the digest of the
-payload so far; every row is a WARC record of its own: the first chunk of a response, and continuation records with a
+A payload becomes rows (record, chunk number, chunk) of at most `chunk_bytes` bytes (or one character), cut out of the bytes
+of its input row where they lie, each with the digest of the payload so far; every row is a WARC record of its own: the first chunk of a response, and continuation records with a
 segment number for the rest. Spark's text writer puts the rows, in order, into gzip-compressed files in the shared folder,
 and the reader streams the lines of a file back through one parser, which never holds more than a line and updates the
-payload digest as chunks come in. No record is ever put together in memory. A payload that another page has already is
-written as a revisit record without body.
+payload digest as chunks come in. Beside the input row itself no record is ever put together in memory. A payload that another page has already
+is written as a revisit record without body.
 
 The page that a payload's copies refer to is found over (page_id, digest) rows alone, pre-aggregated by digest, so a
 digest that a third of all pages share is no hot key for the payloads: those are shuffled by page.
@@ -20,17 +20,23 @@ import hashlib
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from concord.llm.common import slices, table
+from concord.llm.common import arrow_schema, slices, table
 from concord.session import shared_dir
 
-#: Characters of payload in one chunk.
-CHUNK_CHARS = 1 << 16
+#: Bytes of payload in one chunk.
+CHUNK_BYTES = 1 << 16
+#: Bytes of chunks that leave a task at once.
+BATCH_BYTES = 4 << 20
 #: Payloads below this many bytes are always responses.
 REVISIT_BYTES = 100
+#: What every revisit record of this kind has to name (fixed by the WARC standard).
+REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _END = "\r\n"
 
 
@@ -47,39 +53,66 @@ def with_references(pages: DataFrame, *, id_col: str = "page_id", html_col: str
     return rows.join(revisits, same, "left").select(rows["page_id"], "url", "html", rows["digest"], "refers_to")
 
 
-def chunk_rows(pages: DataFrame, *, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """The record table: (record, chunk_no, chunks, kind, url, refers_to, digest, running_digest, total_bytes, chunk).
+def pieces(raw: memoryview, size: int) -> Iterator[memoryview]:
+    """Views of at most `size` bytes (or one character) of a UTF-8 text; an empty text is one empty piece."""
+    at, n = 0, len(raw)
+    while at < n or not n:
+        end = min(at + size, n)
+        while end < n and end > at and raw[end] & 0xC0 == 0x80:  # inside a character
+            end -= 1
+        if end == at:
+            end = min(at + 1, n)
+            while end < n and raw[end] & 0xC0 == 0x80:
+                end += 1
+        yield raw[at:end]
+        if end >= n:
+            return
+        at = end
+
+
+def texts_of(column: pa.Array) -> Iterator[memoryview]:
+    """The bytes of each text of an Arrow column without nulls, as views of its buffer."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4).tolist()
+    data = memoryview(column.buffers()[2] or b"").cast("B")
+    return (data[x:y] for x, y in zip(offsets, offsets[1:]))
+
+
+def chunk_rows(pages: DataFrame, *, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """The record table: (record, page_id, chunk_no, last, kind, url, refers_to, digest, running_digest, total_bytes, chunk).
 
     Rows of a record follow each other; a revisit has one row without chunk.
     """
     schema = "record string, page_id long, chunk_no int, last boolean, kind string, url string, refers_to long, digest string, running_digest string, total_bytes long, chunk string"
+    arrow = arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch(out: list[tuple]) -> pa.RecordBatch:
+            *columns, chunk = zip(*out)
+            arrays = [pa.array(c, f.type) for c, f in zip(columns, arrow)]
+            return pa.RecordBatch.from_arrays([*arrays, pa.array(chunk, pa.binary()).cast(pa.string())], schema=arrow)
 
-        arrow = pa.schema(
-            [("record", pa.string()), ("page_id", pa.int64()), ("chunk_no", pa.int32()), ("last", pa.bool_()), ("kind", pa.string()), ("url", pa.string()), ("refers_to", pa.int64()), ("digest", pa.string()), ("running_digest", pa.string()), ("total_bytes", pa.int64()), ("chunk", pa.string())]
-        )
         for part in slices(batches, "html"):
             out, held = [], 0
-            for page, url, html, digest, refers in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "refers_to"))):
-                name, total = str(uuid.uuid5(uuid.NAMESPACE_URL, f"{page} {digest} {url}")), len(html.encode())
+            for page, url, raw, total, digest, refers in zip(
+                *(part.column(c).to_pylist() for c in ("page_id", "url")), texts_of(part.column("html")), *(part.column(c).to_pylist() for c in ("total_bytes", "digest", "refers_to"))
+            ):
+                name = str(uuid.uuid5(uuid.NAMESPACE_URL, f"{page} {digest} {url}"))
                 if refers is not None:
                     out.append((name, page, 1, True, "revisit", url, refers, digest, digest, total, None))
                     continue
-                running = hashlib.sha256()
-                for no, at in enumerate(range(0, max(1, len(html)), chunk_chars), 1):
-                    chunk = html[at : at + chunk_chars]
-                    running.update(chunk.encode())
-                    last = at + chunk_chars >= len(html)
-                    out.append((name, page, no, last, "response" if no == 1 else "continuation", url, None, digest, running.hexdigest(), total, chunk))
-                    held += len(chunk)
-                    if held > 4 << 20:  # the chunks of a large payload leave in several batches
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
+                running, left = hashlib.sha256(), total
+                for no, piece in enumerate(pieces(raw, chunk_bytes), 1):
+                    running.update(piece)
+                    left -= len(piece)
+                    out.append((name, page, no, left == 0, "response" if no == 1 else "continuation", url, None, digest, running.hexdigest(), total, bytes(piece)))
+                    held += len(piece)
+                    if held > BATCH_BYTES:  # the chunks of a large payload leave in several batches
+                        yield batch(out)
                         out, held = [], 0
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
+                yield batch(out)
 
-    return pages.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(run, schema)
+    return pages.select("page_id", "url", "html", F.octet_length("html").cast("long").alias("total_bytes"), "digest", "refers_to").mapInArrow(run, schema)
 
 
 def record_text(rows: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
@@ -99,6 +132,7 @@ def record_text(rows: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFram
         line("WARC-Segment-Number", F.when(segmented, F.col("chunk_no"))),
         line("WARC-Segment-Origin-ID", F.when(more, F.concat(F.lit("<urn:uuid:"), "record", F.lit(">")))),
         line("WARC-Segment-Total-Length", F.when(segmented & F.col("last"), F.col("total_bytes"))),
+        line("WARC-Profile", F.when(F.col("kind") == "revisit", F.lit(REVISIT_PROFILE))),
         line("WARC-Refers-To-Page-ID", F.col("refers_to")),
         line("WARC-Payload-Digest", F.when(~more, F.concat(F.lit("sha256:"), "digest"))),
         line("WARC-Payload-Length", F.when(~more, F.col("total_bytes"))),
@@ -110,9 +144,9 @@ def record_text(rows: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFram
     return rows.select(F.concat(*[F.coalesce(h, F.lit("")) for h in head]).alias("value"))
 
 
-def write_archives(pages: DataFrame, folder: str, *, chunk_chars: int = CHUNK_CHARS, **how) -> None:
+def write_archives(pages: DataFrame, folder: str, *, chunk_bytes: int = CHUNK_BYTES, **how) -> None:
     """WARC files (*.txt.gz as Spark names them) of all pages under `folder`, one per task."""
-    rows = chunk_rows(with_references(pages, **how), chunk_chars=chunk_chars)
+    rows = chunk_rows(with_references(pages, **how), chunk_bytes=chunk_bytes)
     record_text(rows).write.option("lineSep", _END + _END).option("compression", "gzip").mode("overwrite").text(folder)
 
 

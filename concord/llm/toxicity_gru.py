@@ -224,6 +224,8 @@ def train(examples: list[tuple[bytes, int]], steps: tuple[int, ...] = STEPS, bat
         worst = np.full(len(numbers), -np.inf, np.float32)
         np.maximum.at(worst, doc, scores)
         chosen = np.flatnonzero(toxic & own & ((scores >= worst[doc]) | (scores > max(0.0, np.quantile(scores[clean], 0.999)))))
+        if not len(chosen):  # the worst are held in single precision and may have been rounded above their own scores
+            chosen = np.flatnonzero(toxic & own & (scores.astype(np.float32) >= worst[doc]))
         hard = clean[np.argsort(-scores[clean])[: max(batch, len(clean) // 20)]]
         for _ in range(count):
             pick = np.concatenate((rng.choice(chosen, batch // 4), rng.choice(clean, batch // 2), rng.choice(hard, batch - batch // 4 - batch // 2)))

@@ -169,7 +169,9 @@ def _legal_forms(name: Column) -> Column:
     def rewritten(s: Column, pattern: str, form: str) -> Column:
         return let(s, lambda x: F.when(_may_have(name, pattern), sub(x, pattern, form)).otherwise(x))
 
-    return reduce(lambda s, rule: rewritten(s, *rule), specs.LEGAL_REWRITES, name)
+    # most names hold none of the words: one test of all of them goes before the steps
+    some = reduce(lambda a, b: a | b, [_may_have(name, pattern) for pattern, _ in specs.LEGAL_REWRITES])
+    return F.when(some, reduce(lambda s, rule: rewritten(s, *rule), specs.LEGAL_REWRITES, name)).otherwise(name)
 
 
 def party_norm(value: Column, folded: Column | None = None) -> Column:
@@ -185,8 +187,7 @@ def party_norm(value: Column, folded: Column | None = None) -> Column:
 
 def party_core(norm: Column) -> Column:
     """The name without legal-form tokens."""
-    drop = F.array(*[F.lit(t) for t in [*specs.LEGAL_TOKENS, "&"]])
-    return F.array_join(F.filter(F.split(norm, " "), lambda t: ~F.array_contains(drop, t)), " ")
+    return F.array_join(F.filter(F.split(norm, " "), lambda t: ~t.isin([*specs.LEGAL_TOKENS, "&"])), " ")  # a set, not a list
 
 
 def is_order_only(value: Column, folded: Column | None = None) -> Column:
@@ -195,8 +196,9 @@ def is_order_only(value: Column, folded: Column | None = None) -> Column:
 
 
 def is_blank(value: Column) -> Column:
-    """Nothing there, or only a placeholder."""
-    return value.isNull() | matches(sub(value, r"^\s+|\s+$", ""), specs.BLANK_VALUE, NOCASE)
+    """Nothing there, or only a placeholder. White space at the ends needs no trimming: every anchored part of the
+    pattern takes it in."""
+    return value.isNull() | matches(value, specs.BLANK_VALUE, NOCASE)
 
 
 # ---------------------------------------------------------------- labels

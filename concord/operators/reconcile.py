@@ -78,9 +78,10 @@ def pair_fields(compared: DataFrame, standard: DataFrame) -> DataFrame:
     """Both sides of every field of every compared case, absent sides as nulls.
 
     A union and one aggregate do the full outer alignment: the values and the case x field grid meet in a single
-    shuffle by case, and a case has at most 21 such rows.
+    shuffle by case, and a case has at most 21 such rows. Of a port's parts only what the rules read is moved.
     """
-    values = standard.select("case_id", "field", "side", F.struct(*VALUE).alias("value"), F.lit(False).alias("in_grid"))
+    narrow = standard.withColumn("norm", F.col("norm").dropFields("parts.full", "parts.city"))
+    values = narrow.select("case_id", "field", "side", F.struct(*VALUE).alias("value"), F.lit(False).alias("in_grid"))
     kind = values.schema["value"].dataType
     grid = field_grid(compared).select("case_id", "field", F.lit(None).cast("string").alias("side"), F.lit(None).cast(kind).alias("value"), F.lit(True).alias("in_grid"))
     return (

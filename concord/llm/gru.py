@@ -86,7 +86,58 @@ class Adagrad:
         order = np.argsort(index, kind="stable")
         index = index[order]
         first = np.flatnonzero(np.concatenate(([True], index[1:] != index[:-1])))
-        total, index = np.add.reduceat(grad[order], first, axis=0), index[first]
+        total, index = np.add.reduceat(grad.take(order, axis=0), first, axis=0), index[first]
         seen = self.seen[name]
         seen[index] += total * total
         self.params[name][index] -= self.rate * total / np.sqrt(seen[index])
+
+
+def run_across(emb: np.ndarray, row: np.ndarray, u: np.ndarray, h: np.ndarray, keep: bool = False) -> tuple[np.ndarray, tuple]:
+    """As run, of the table's rows row (steps, rows), with a state in each column: (states (steps, H, rows), gates if `keep`).
+
+    A gate is then one stretch of memory, and a step a few passes over it.
+    """
+    steps, rows = row.shape
+    n, ut = len(h), np.ascontiguousarray(u.T)
+    out = np.empty((steps, n, rows), np.float32)
+    gates = [np.empty((steps, k * n, rows), np.float32) for k in (2, 1, 1)] if keep else None
+    for t in range(steps):
+        x, g = np.ascontiguousarray(emb.take(row[t], axis=0).T), ut @ h
+        zr = np.add(x[: 2 * n], g[: 2 * n], out=gates[0][t] if keep else x[: 2 * n])
+        np.negative(zr, out=zr)
+        np.exp(zr, out=zr)
+        zr += 1.0
+        np.reciprocal(zr, out=zr)
+        c = np.multiply(g[2 * n :], zr[n:], out=gates[1][t] if keep else g[2 * n :])
+        c += x[2 * n :]
+        np.tanh(c, out=c)
+        if keep:
+            gates[2][t] = g[2 * n :]
+        d = c - h
+        d *= zr[:n]
+        h = np.add(h, d, out=out[t])
+    return out, gates
+
+
+def back_across(d_states: np.ndarray, first: np.ndarray, states: np.ndarray, gates: tuple, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As back, after run_across from the state `first`: gradients of the table's rows read, (steps, 3H, rows), and of u."""
+    steps, n, rows = d_states.shape
+    zr, c, gc = gates
+    z, r = zr[:, :n], zr[:, n:]
+    before = np.concatenate((first[None], states[:-1]))
+    stay = 1 - z
+    to_c = z * (1 - c * c)
+    part = np.empty((steps, 3, n, rows), np.float32)  # gradients of the gates' inputs for one of the state
+    np.multiply(to_c, r, out=part[:, 2])
+    part[:, 1] = part[:, 2] * gc * (1 - r)
+    part[:, 0] = (c - before) * z * stay
+    dh, carried = np.empty_like(d_states), np.zeros((n, rows), np.float32)
+    for t in reversed(range(steps)):
+        np.add(carried, d_states[t], out=dh[t])
+        part[t] *= dh[t]
+        carried = dh[t] * stay[t]
+        carried += u @ part[t].reshape(3 * n, rows)
+    dx = part.reshape(steps, 3 * n, rows)
+    du = np.matmul(before, dx.transpose(0, 2, 1)).sum(axis=0)
+    np.multiply(dh, to_c, out=part[:, 2])
+    return dx, du

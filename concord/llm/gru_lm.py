@@ -21,18 +21,18 @@ from __future__ import annotations
 
 import heapq
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concord.llm import gru
-from concord.llm.common import id_and_text, slices, table, tokens
+from concord.llm.common import id_and_text, slices, table
 from concord.session import as_table, new_run_dir
 
 END = b"\n"  # cannot be a token
@@ -44,6 +44,7 @@ HIDDEN, STEPS, STREAMS = 16, 32, 256
 #: (share of the training documents as 1 / n, learning rate) of each training round.
 ROUNDS = ((8, 0.1), (1, 0.1))
 LM_SLICE = 6 << 20
+COUNT_SLICE = 16 << 20
 _START = HEAD + TAIL_ROWS  # row of the state before the first token
 #: Distinct tokens a counting task holds before it hands them on.
 COUNT_FLUSH = 500_000
@@ -57,29 +58,38 @@ def tail_class(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % TAIL_CLASSES
 
 
+def token_lists(texts: pa.Array) -> pa.ListArray:
+    """The tokens of each text, its end token left out."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.string())))
+    words = lists.flatten()
+    full = pc.binary_length(words).to_numpy() > 0  # white space at the ends of a text leaves empty ones
+    ends = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(full)))[ends], pa.int32()), words.filter(pa.array(full)).cast(pa.binary()))
+
+
 def token_counts(docs: DataFrame) -> DataFrame:
     """(token, tail, c): how often each token occurs in docs (doc_id, text), the end tokens included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-
-        def batch():
-            word = pa.array(list(seen), pa.binary()).cast(pa.string())
-            tail = pa.array([tail_class(w) for w in seen], pa.int32())
-            return pa.RecordBatch.from_arrays([word, tail, pa.array(list(seen.values()), pa.int64())], names=["token", "tail", "n"])
-
-        for part in slices(batches, "text"):
-            texts = part.column("text").cast(pa.binary()).to_pylist()
-            for t in texts:
-                seen.update(tokens(t))
-            seen[END] += len(texts)
-            if len(seen) > COUNT_FLUSH:
-                yield batch()
-                seen.clear()
-        if seen:
-            yield batch()
-
-    return docs.mapInArrow(run, "token string, tail int, n long").groupBy("token", "tail").agg(F.sum("n").alias("c"))
+        held: list[pa.Table] = []
+        for part in slices(batches, "text", COUNT_SLICE):
+            seen = token_lists(part.column("text")).flatten().value_counts()
+            held.append(pa.table({"token": seen.field(0), "n": seen.field(1)}))
+            held.append(pa.table({"token": pa.array([END], pa.binary()), "n": pa.array([part.num_rows], pa.int64())}))
+            if sum(map(len, held)) > 2 * COUNT_FLUSH:
+                held = [summed(held)]
+                if len(held[0]) > COUNT_FLUSH:
+                    yield from held.pop().to_batches()
+        if held:
+            yield from summed(held).to_batches()
+
+    def summed(held: list[pa.Table]) -> pa.Table:
+        got = pa.concat_tables(held).group_by("token", use_threads=False).aggregate([("n", "sum")])
+        return pa.table({"token": got.column("token").cast(pa.string()), "n": got.column("n_sum")}).combine_chunks()
+
+    counts = docs.mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("c"))
+    tail = F.crc32(F.substring(F.col("token").cast("binary"), -2, 2)) % TAIL_CLASSES  # tail_class
+    return counts.select("token", tail.cast("int").alias("tail"), "c")
 
 
 def most_frequent(counts: DataFrame, n: int) -> list:
@@ -125,26 +135,46 @@ class Lexicon:
         np.subtract.at(mass, self.tail[: self.heads], self.count[: self.heads] + (self.count[: self.heads] > 0))
         self.log_mass = np.log10(mass + 1.0)  # counts plus one of the tokens of each tail class, and one for unseen ones
 
-    def read(self, lists: list[list[bytes]]) -> dict:
+    @cached_property
+    def words(self) -> pa.Array:
+        """The known tokens in the order of their codes."""
+        return pa.array(list(self.code), pa.binary())
+
+    def read(self, lists: pa.ListArray | list[list[bytes]]) -> dict:
         """Arrays over all tokens (end tokens included) of several texts, laid end to end."""
-        sizes = np.fromiter((len(x) + 1 for x in lists), np.int64, len(lists))
-        flat = [w for x in lists for w in (*x, END)]
-        code = np.fromiter(map(self.code.get, flat, repeat(-1)), np.int32, len(flat))
-        new = np.flatnonzero(code < 0)
-        rest = [flat[i] for i in new.tolist()]
-        number = {w: i for i, w in enumerate(dict.fromkeys(rest))}
-        own = np.fromiter(map(number.__getitem__, rest), np.int32, len(rest))
-        tail, row = self.tail[code], self.row[code]
-        if len(rest):
-            tail[new] = np.fromiter(map(tail_class, number), np.int64, len(number))[own]
-            row[new] = HEAD + np.fromiter((zlib.crc32(w) % TAIL_ROWS for w in number), np.int64, len(number))[own]
-        head = (code >= 0) & (code < self.heads)
+        lists = lists if isinstance(lists, pa.ListArray) else pa.array(lists, pa.list_(pa.binary()))
+        sizes = lists.value_lengths().to_numpy().astype(np.int64) + 1
+        flat = lists.flatten().dictionary_encode()
+        distinct, which = flat.dictionary, flat.indices.to_numpy()
+        own = pc.fill_null(pc.index_in(distinct, self.words), -1).to_numpy()  # code of each distinct token
+        tail, row = self.tail[own], self.row[own]
+        new = np.flatnonzero(own < 0)
+        if len(new):
+            rest = distinct.take(pa.array(new))
+            tail[new] = _crcs(pc.binary_slice(rest, -2)) % TAIL_CLASSES
+            row[new] = HEAD + _crcs(rest) % TAIL_ROWS
+        place = np.arange(len(which)) + np.repeat(np.arange(len(sizes)), sizes - 1)
+
+        def laid(of_distinct: np.ndarray, of_end) -> np.ndarray:
+            out = np.full(len(which) + len(sizes), of_end, of_distinct.dtype)
+            out[place] = of_distinct[which]
+            return out
+
+        end = self.code[END]
+        head = (own >= 0) & (own < self.heads)
+        target, cls = np.where(head, own, -1).astype(np.int32), np.where(head, own // CLASS_WORDS, HEAD // CLASS_WORDS + tail).astype(np.int16)
+        unknown = np.flatnonzero(own[which] < 0)
         return {
-            "sizes": sizes, "code": code, "row": row, "new": new, "rest": rest, "tail": tail,
-            "target": np.where(head, code, -1), "class": np.where(head, code // CLASS_WORDS, HEAD // CLASS_WORDS + tail),
+            "sizes": sizes, "code": laid(own, end), "row": laid(row, self.row[end]), "tail": laid(tail, self.tail[end]),
+            "target": laid(target, end), "class": laid(cls, end // CLASS_WORDS),
+            "new": place[unknown], "rest": which[unknown], "distinct": distinct,
         }
 
 
+def _crcs(words: pa.Array) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, words.to_numpy(zero_copy_only=False)), np.int64, len(words))
+
+
 class Model:
     """Parameters as float arrays by name; `flat` and `load` turn them into one row of numbers and back."""
 
@@ -174,73 +204,103 @@ class Model:
             self.p[k] = flat[at : at + v.size].reshape(v.shape).astype(np.float32)
             at += v.size
 
+    def weights(self) -> tuple[np.ndarray, np.ndarray, bool, bool]:
+        """Of the classes (HIDDEN + 1, CLASSES) and of the words of each head class, biases last; whether a logit may need a bound."""
+        wc = np.vstack((self.p["wc"], self.p["bc"]))
+        wo = np.hstack((self.p["wo"], self.p["bo"][:, None]))
+        # states lie between -1 and 1
+        return wc, wo.reshape(-1, CLASS_WORDS, HIDDEN + 1), bool(np.abs(wc).sum(axis=0).max() > 60), bool(np.abs(wo).sum(axis=1).max() > 60)
+
     def log_probs(self, h: np.ndarray, target: np.ndarray, cls: np.ndarray) -> np.ndarray:
         """Natural logs of P(class) and, for head words, P(word | class) after each state."""
-        out = np.empty(len(h), np.float64)
+        wc, wo, wide_c, wide_o = self.weights()
+        order, runs = _by_class(cls)
+        hs, c, word, heads = _with_one(h, order), cls[order], target[order] % CLASS_WORDS, runs[-1][2] if runs else 0
+        lp, x = np.empty(len(h), np.float64), np.empty((heads, CLASS_WORDS), np.float32)
         for i in range(0, len(h), 8192):  # what fits a cache
-            part, t, c = h[i : i + 8192], target[i : i + 8192], cls[i : i + 8192]
-            lp = _log_of(part @ self.p["wc"] + self.p["bc"], c)
-            for k, at in _by_class(c, t):
-                rows = slice(k * CLASS_WORDS, (k + 1) * CLASS_WORDS)
-                lp[at] += _log_of(part[at] @ self.p["wo"][rows].T + self.p["bo"][rows], t[at] - k * CLASS_WORDS)
-            out[i : i + 8192] = lp
+            lp[i : i + 8192] = _log_of(hs[i : i + 8192] @ wc, c[i : i + 8192], wide_c)
+        for k, a, b in runs:
+            np.matmul(hs[a:b], wo[k].T, out=x[a:b])
+        for i in range(0, heads, 8192):
+            lp[i : min(i + 8192, heads)] += _log_of(x[i : i + 8192], word[i : min(i + 8192, heads)], wide_o)
+        out = np.empty(len(h), np.float64)
+        out[order] = lp
         return out
 
     def step(self, opt: gru.Adagrad, row: np.ndarray, target: np.ndarray, cls: np.ndarray, real: np.ndarray, h: np.ndarray) -> np.ndarray:
         """One update over a window (steps, streams); returns the states after it."""
         p = self.p
-        states, kept = gru.run_kept(p["emb"][row], p["u"], h)
-        flat, own = states.reshape(-1, HIDDEN), np.flatnonzero(real.ravel())
-        hs, t, c = flat[own], target.ravel()[own], cls.ravel()[own]
+        wc, wo, wide_c, wide_o = self.weights()
+        begin = np.ascontiguousarray(h.T)
+        states, gates = gru.run_across(p["emb"], row, p["u"], begin, keep=True)
+        own = np.flatnonzero(real.ravel())
+        order, runs = _by_class(cls.ravel()[own])
+        own, heads = own[order], runs[-1][2] if runs else 0
+        hs = _with_one(states.transpose(0, 2, 1).reshape(-1, HIDDEN), own)
+        t, c = target.ravel()[own], cls.ravel()[own]
         scale = np.float32(1.0 / np.sqrt(len(own)))
-        d = _softmax(hs @ p["wc"] + p["bc"])
-        d[np.arange(len(own)), c] -= 1
-        d *= scale
-        dh = d @ p["wc"].T
-        grads = {"wc": hs.T @ d, "bc": d.sum(axis=0)}
-        dwo, dbo = np.zeros_like(p["wo"]), np.zeros_like(p["bo"])
-        for k, at in _by_class(c, t):
-            rows = slice(k * CLASS_WORDS, (k + 1) * CLASS_WORDS)
-            e = _softmax(hs[at] @ p["wo"][rows].T + p["bo"][rows])
-            e[np.arange(len(at)), t[at] - k * CLASS_WORDS] -= 1
-            e *= scale
-            dh[at] += e @ p["wo"][rows]
-            dwo[rows], dbo[rows] = e.T @ hs[at], e.sum(axis=0)
-        grads |= {"wo": dwo, "bo": dbo}
-        d_states = np.zeros_like(flat)
-        d_states[own] = dh
-        dx, grads["u"] = gru.back(d_states.reshape(states.shape), kept, p["u"])
+        d = _softmax_less(hs @ wc, c, scale, wide_c)
+        dh = np.zeros((len(own) + 1, HIDDEN), np.float32)  # the last row is for places without a token
+        np.matmul(d, p["wc"].T, out=dh[:-1])
+        dwc = hs.T @ d
+        e = np.empty((heads, CLASS_WORDS), np.float32)
+        for k, a, b in runs:
+            np.matmul(hs[a:b], wo[k].T, out=e[a:b])
+        e = _softmax_less(e, t[:heads] % CLASS_WORDS, scale, wide_o)
+        dwo, back = np.zeros_like(wo), np.empty((heads, HIDDEN), np.float32)
+        for k, a, b in runs:
+            np.matmul(e[a:b], wo[k, :, :HIDDEN], out=back[a:b])
+            np.matmul(e[a:b].T, hs[a:b], out=dwo[k])
+        dh[:heads] += back
+        dwo = dwo.reshape(HEAD, HIDDEN + 1)
+        at = np.full(real.size, len(own))
+        at[own] = np.arange(len(own))
+        d_states = np.ascontiguousarray(dh.take(at, axis=0).reshape(*real.shape, HIDDEN).transpose(0, 2, 1))
+        dx, du = gru.back_across(d_states, begin, states, gates, p["u"])
+        grads = {"wc": dwc[:HIDDEN], "bc": dwc[HIDDEN], "wo": dwo[:, :HIDDEN], "bo": dwo[:, HIDDEN], "u": du}
         for k, g in grads.items():
             opt.dense(k, np.clip(g, -5, 5))
-        used = np.flatnonzero(real.ravel())
-        opt.rows("emb", row.ravel()[used], dx.reshape(-1, 3 * HIDDEN)[used])
-        return states[-1]
+        opt.rows("emb", row.ravel()[own].astype(np.int16), dx.transpose(0, 2, 1).reshape(-1, 3 * HIDDEN).take(own, axis=0))
+        return states[-1].T
 
 
-def _log_of(x: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """Log of the softmax of each row at one place; works in x."""
-    np.clip(x, -60, 60, out=x)
-    own = x[np.arange(len(x)), which]
-    np.exp(x, out=x)
-    return own - np.log(x.sum(axis=1))
+def _with_one(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """States of the places `at` with a one behind, which the biases are multiplied by."""
+    out = np.ones((len(at), HIDDEN + 1), np.float32)
+    out[:, :HIDDEN] = h.take(at, axis=0)
+    return out
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    """Softmax of each row, in x."""
-    np.clip(x, -60, 60, out=x)
+def _exp_sums(x: np.ndarray, wide: bool) -> np.ndarray:
+    """Exponentials in x; returns their sums by row."""
+    if wide:
+        np.clip(x, -60, 60, out=x)
     np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
+    return x @ np.ones(x.shape[1], np.float32)
+
+
+def _log_of(x: np.ndarray, which: np.ndarray, wide: bool) -> np.ndarray:
+    """Log of the softmax of each row at one place; works in x."""
+    own = x.ravel().take(np.arange(0, x.size, x.shape[1]) + which)
+    if wide:
+        np.clip(own, -60, 60, out=own)
+    return own - np.log(_exp_sums(x, wide))
+
+
+def _softmax_less(x: np.ndarray, which: np.ndarray, scale: np.float32, wide: bool) -> np.ndarray:
+    """`scale` times the softmax of each row less one at one place, in x."""
+    x *= (scale / _exp_sums(x, wide))[:, None]
+    x.reshape(-1)[np.arange(0, x.size, x.shape[1]) + which] -= scale
     return x
 
 
-def _by_class(cls: np.ndarray, target: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(class, places) of the head words."""
-    own = np.flatnonzero(target >= 0)
-    order = own[np.argsort(cls[own], kind="stable")]
+def _by_class(cls: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Places by class, head words first, and (class, begin, end) of each run of those."""
+    order = np.argsort(cls.astype(np.int16), kind="stable")  # sorted by digits
     c = cls[order]
-    cuts = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1]))) if len(c) else []
-    for a, b in zip(cuts, [*cuts[1:], len(c)]):
-        yield int(c[a]), order[a:b]
+    c = c[: np.searchsorted(c, HEAD // CLASS_WORDS)]
+    cuts = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1]))).tolist() if len(c) else []
+    return order, [(int(c[a]), a, b) for a, b in zip(cuts, [*cuts[1:], len(c)])]
 
 
 def windows(sizes: np.ndarray, starts: np.ndarray, steps: int = STEPS) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
@@ -288,7 +348,7 @@ def lanes(sizes: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, n
         yield np.where(real, np.array([x[t] for x in first[:going]]) + step, 0), real, np.array([x[t] for x in part[:going]]) == 0
 
 
-def train_on(model: Model, lexicon: Lexicon, opt: gru.Adagrad, lists: list[list[bytes]]) -> int:
+def train_on(model: Model, lexicon: Lexicon, opt: gru.Adagrad, lists: pa.ListArray | list[list[bytes]]) -> int:
     """Updates from the whole texts of a slice; returns the tokens trained on."""
     got = lexicon.read(lists)
     begin = np.cumsum(got["sizes"]) - got["sizes"]
@@ -320,7 +380,7 @@ def trained(docs: DataFrame, lexicon: Lexicon, rounds: tuple[tuple[int, float],
                 seen += 0.02  # small first steps: the averaged parameters are kept, not overrun
             weight = 0
             for part in slices(batches, "text", LM_SLICE):
-                weight += train_on(own, words.value, opt, [tokens(t) for t in part.column("text").cast(pa.binary()).to_pylist()])
+                weight += train_on(own, words.value, opt, token_lists(part.column("text")))
             if weight:
                 v = own.flat().astype(np.float64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(v), dtype=np.int32)), pa.array(v * weight), pa.array(np.full(len(v), float(weight)))], names=["i", "v", "w"])
@@ -335,7 +395,7 @@ def trained(docs: DataFrame, lexicon: Lexicon, rounds: tuple[tuple[int, float],
     return model
 
 
-def score_lists(model: Model, lexicon: Lexicon, lists: list[list[bytes]]) -> dict:
+def score_lists(model: Model, lexicon: Lexicon, lists: pa.ListArray | list[list[bytes]]) -> dict:
     """What the known counts and the network say about each text, and the tokens whose counts are yet to be joined."""
     got = lexicon.read(lists)
     sizes = got["sizes"]
@@ -347,18 +407,18 @@ def score_lists(model: Model, lexicon: Lexicon, lists: list[list[bytes]]) -> dic
     tail = got["target"] < 0
     score = np.bincount(doc, np.where(tail, log - lexicon.log_mass[got["tail"]], 0.0), len(sizes))
     order = np.argsort(-sizes, kind="stable")
-    starts, h = begin[order], np.zeros((len(sizes), HIDDEN), np.float32)
+    starts, h = begin[order], np.zeros((HIDDEN, len(sizes)), np.float32)
     for at, real, first in windows(sizes[order], starts):
-        states = gru.run(model.p["emb"][inputs(got["row"], at, starts, first)], model.p["u"], h[: at.shape[1]])
+        states, _ = gru.run_across(model.p["emb"], inputs(got["row"], at, starts, first), model.p["u"], np.ascontiguousarray(h[:, : at.shape[1]]))
         h = states[-1]
         own = np.flatnonzero(real.ravel())
         place = at.ravel()[own]
-        lp = model.log_probs(states.reshape(-1, HIDDEN)[own], got["target"][place], got["class"][place])
+        lp = model.log_probs(states.transpose(0, 2, 1).reshape(-1, HIDDEN)[own], got["target"][place], got["class"][place])
         score += np.bincount(doc[place], lp, len(sizes)) / np.log(10)
     base = np.bincount(doc, log, len(sizes)) - sizes * np.log10(lexicon.total + lexicon.distinct + 1.0)
-    rest: list[dict[bytes, int]] = [{} for _ in lists]
-    for d, w in zip(doc[got["new"]].tolist(), got["rest"]):
-        rest[d][w] = rest[d].get(w, 0) + 1
+    pair, times = np.unique(doc[got["new"]].astype(np.int64) * max(1, len(got["distinct"])) + got["rest"], return_counts=True)
+    owner, word = np.divmod(pair, max(1, len(got["distinct"])))
+    rest = (np.bincount(owner, minlength=len(sizes)), got["distinct"].take(pa.array(word)), times)  # unknown tokens of each text, and how often
     return {"n_tokens": sizes, "n_known": np.bincount(doc, count > 0, len(sizes)).astype(np.int64), "base": base, "score": score, "rest": rest}
 
 
@@ -370,12 +430,11 @@ def _scored(docs: DataFrame, model: Model, lexicon: Lexicon) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 40
         for part in slices(batches, "text", LM_SLICE):
-            got = score_lists(*both.value, [tokens(t) for t in part.column("text").cast(pa.binary()).to_pylist()])
+            got = score_lists(*both.value, token_lists(part.column("text")))
             n = part.num_rows
-            lengths = np.concatenate(([0], np.cumsum([len(r) for r in got["rest"]]))).astype(np.int32)
-            word = pa.array([w for r in got["rest"] for w in r], pa.binary()).cast(pa.string())
-            times = pa.array([k for r in got["rest"] for k in r.values()], pa.int64())
-            rest = pa.ListArray.from_arrays(pa.array(lengths), pa.StructArray.from_arrays([word, times], fields=list(entry)))
+            each, word, times = got["rest"]
+            lengths = np.concatenate(([0], np.cumsum(each))).astype(np.int32)
+            rest = pa.ListArray.from_arrays(pa.array(lengths), pa.StructArray.from_arrays([word.cast(pa.string()), pa.array(times, pa.int64())], fields=list(entry)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(number, number + n)), part.column("doc_id"), *(pa.array(got[k]) for k in ("n_tokens", "n_known", "base", "score")), rest],
                 names=["number", "doc_id", "n_tokens", "n_known", "base", "score", "rest"],

@@ -174,3 +174,57 @@ def test_most_frequent_by_histogram(spark):
     for n in (1, 5, 400, 700, 2999, 3000, 5000):
         assert [tuple(r) for r in most_frequent(df, n)] == order[:n]
     assert most_frequent(df.limit(0), 5) == []
+
+
+def test_tokens_are_looked_up_once_and_steps_run_across(spark):
+    """The cost was a lookup per token and gates strided through memory."""
+
+    class Asked(dict):
+        times = 0
+
+        def get(self, *a):
+            self.times += 1
+            return super().get(*a)
+
+    lexicon = lexicon_of(spark, ["a b c d e f g"] * 3)
+    lexicon.code = Asked(lexicon.code)
+    got = lexicon.read([[b"a", b"zz", b"b"] * 500, [], [b"zz", b"yy"]])
+    assert lexicon.code.times == 0 and got["sizes"].tolist() == [1501, 1, 3]
+    assert got["code"].tolist() == [lexicon.code["a".encode()], -1, lexicon.code[b"b"]] * 500 + [0, 0, -1, -1, 0]
+    assert got["new"].tolist() == [*range(1, 1500, 3), 1502, 1503]
+
+    rng = np.random.default_rng(3)
+    emb, u, first = (rng.standard_normal(s).astype(np.float32) for s in ((9, 3 * HIDDEN), (HIDDEN, 3 * HIDDEN), (5, HIDDEN)))
+    row, d = rng.integers(0, 9, (7, 5)), rng.standard_normal((7, 5, HIDDEN)).astype(np.float32)
+    want, kept = gru.run_kept(emb[row], u, first)
+    states, gates = gru.run_across(emb, row, u, first.T, keep=True)
+    assert np.allclose(states.transpose(0, 2, 1), want, atol=1e-5) and np.allclose(gru.run_across(emb, row, u, first.T)[0], states, atol=1e-6)
+    dx, du = gru.back_across(np.ascontiguousarray(d.transpose(0, 2, 1)), first.T, states, gates, u)
+    want_dx, want_du = gru.back(d, kept, u)
+    assert np.allclose(dx.transpose(0, 2, 1), want_dx, atol=1e-4) and np.allclose(du, want_du, atol=1e-3)
+
+
+def test_scores_match_a_plain_loop(spark):
+    lexicon = lexicon_of(spark, [" ".join(f"w{i}" for i in range(k)) for k in range(0, 1200, 3)])
+    model = Model(lexicon.heads)
+    model.unigram(lexicon)
+    texts = [[b"w1", b"w1190", b"nowhere", b"w3"] * 9, [], [b"x"] * 3 + [b"w700"]]
+    got = score_lists(model, lexicon, texts)
+    softmax = lambda x: np.exp(x) / np.exp(x).sum()
+    for text, score in zip(texts, got["score"]):
+        h, before, total = np.zeros(HIDDEN, np.float32), gru_lm._START, 0.0
+        for w in [*text, b"\n"]:
+            h = gru.run(model.p["emb"][[[before]]], model.p["u"], h[None])[0, 0]
+            classes = softmax(h @ model.p["wc"] + model.p["bc"])
+            code = lexicon.code.get(w, -1)
+            if 0 <= code < HEAD:
+                own = slice(code // CLASS_WORDS * CLASS_WORDS, code // CLASS_WORDS * CLASS_WORDS + CLASS_WORDS)
+                p = classes[code // CLASS_WORDS] * softmax(model.p["wo"][own] @ h + model.p["bo"][own])[code % CLASS_WORDS]
+            else:
+                tail = gru_lm.tail_class(w)
+                p = classes[HEAD // CLASS_WORDS + tail] * ((lexicon.count[code] if code >= 0 else 0) + 1) / 10 ** lexicon.log_mass[tail]
+            total += math.log10(p)
+            before = code if 0 <= code < HEAD else HEAD + zlib.crc32(w) % gru_lm.TAIL_ROWS
+        assert abs(score - total) < 1e-3
+    each, words, times = got["rest"]
+    assert each.tolist() == [1, 0, 1] and words.to_pylist() == [b"nowhere", b"x"] and times.tolist() == [9, 3]
